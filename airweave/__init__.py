@@ -1,0 +1 @@
+"""Air-quality analytics on Spark DataFrames."""
