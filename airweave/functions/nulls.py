@@ -10,7 +10,8 @@ from pyspark.sql.types import DoubleType, FloatType
 def nan_to_null(df: DataFrame) -> DataFrame:
     """All floating columns with NaN as NULL; others as they are."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    named = {c: F.col(f"`{c}`") for c in df.columns}
+    return df.select(*[F.when(~F.isnan(x), x).alias(c) if c in floats else x for c, x in named.items()])
 
 
 def half_even(x: Column, digits: int = 0) -> Column:

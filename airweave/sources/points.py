@@ -24,7 +24,7 @@ def _hour_before(c):
 def bam_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, station, lines) of the CSV files whose first five lines hold ``Data Report``; station is the folder's name."""
     found = files(spark, path).where(F.lower("path").endswith(".csv"))
-    lines = F.split(F.decode("content", F.lit("UTF-8")), "\r?\n")
+    lines = F.split(F.decode("content", "UTF-8"), "\r?\n")
     kept = found.select("path", lines.alias("lines")).where(F.exists(F.slice("lines", 1, 5), lambda x: F.trim(x) == "Data Report"))
     return kept.withColumn("station", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
 
