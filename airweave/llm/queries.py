@@ -54,7 +54,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fifth = toxicity.remainder(5)
     held = lambda c: fifth(c) == 0
     docs = load(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training(docs, load(spark, sf_dir, "labels"), "toxic", held))
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), "toxic", held)
     out = toxicity.scored(docs, model)
     return out.select("doc_id", F.coalesce(held(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_hits")
 

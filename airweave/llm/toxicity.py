@@ -7,7 +7,7 @@ term tells texts apart and by its context window: address to a person and furthe
 words of reporting less likely. A logistic fit over the weighed hits gives the score.
 
 The fit uses at most ``max_train`` labelled rows of each class; every whole text
-is scored. Labels reach the fit only through ``train``.
+is scored. Labels of ids that are held out never reach the fit.
 
 Defined cases: null and empty texts have no hits and the score of such texts;
 without labels of both classes the score is the share of label 1 (0 if there
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, texts_of
+from airweave.llm.common import mapped, stored, texts_of
 
 _TOKEN = re.compile(r"\w(?:[\w*@$]*\w)?")
 #: Marks and words of quotation or report, and words that address a person.
@@ -167,16 +167,25 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(features(n, hits) @ self.weights, -30, 30))))
 
 
-def fit(rows: DataFrame, max_train: int = 20_000, terms: int = 4000) -> Model:
-    """Fit on labelled texts (y int, text, order long); of each class the ``max_train`` first by ``order`` at most."""
-    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """((y, text) rows to learn from, labelled rows of class 1, of class 0).
+
+    Of each class the ``max_train`` ids of smallest hash are taken. These are few
+    enough, by that bound, to be broadcast to the documents; a text counts once.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_train) for y in (0, 1)]
+    ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 max_train rows
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, "_id")
+    return stored(rows.select("y", "text").distinct(), "sample"), sizes.get(1, 0), sizes.get(0, 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int = 20_000, terms: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on the labelled documents that are not ``held_out`` (a condition on the id), at most ``max_train`` of each class."""
+    some, n1, n0 = sample(docs, labels, label, held_out, max_train, id_col, text_col)
     if not n1 or not n0:
         return Model(None, None, 1.0 if n1 else 0.0)
-    full = float(1 << 63)
-    share = lambda n: min(1.0, max_train / n)  # noqa: E731  of the range of hashes
-    cut = F.when(F.col("y") == 1, share(n1)).otherwise(share(n0))
-    some = rows.where(F.abs(F.col("order") / full) <= cut).select("y", "text").distinct()  # copies teach nothing more
 
     def count(batches):
         n: Counter = Counter()
@@ -217,56 +226,72 @@ def fit(rows: DataFrame, max_train: int = 20_000, terms: int = 4000) -> Model:
     words = [w for w in words if not any(w.startswith(s) for s in stems)]
     first = Lexicon(words, stems, None, strength)
 
-    def misspelt(batch: pa.RecordBatch):
+    def search(batch: pa.RecordBatch):
         scorer = Scorer(first)
-        for y, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            _, hits = scorer.hits(text.decode())
-            near = sorted({t for t, m, _ in hits if m})
-            if near:
-                yield {"y": [y] * len(near), "term": near}
-
+        out: dict[str, list] = {"y": batch.column(0).to_pylist(), "n": [], "hits": []}
+        for text in texts_of(batch):
+            n, hits = scorer.hits(text.decode())
+            out["n"].append(n)
+            out["hits"].append([{"term": t, "near": m, "w": w} for t, m, w in hits])
+        yield out
+
+    found = stored(mapped(some, search, "y int, n long, hits array<struct<term: string, near: boolean, w: double>>"), "hits")
+    each = found.select("y", F.explode(F.array_distinct(F.transform(F.filter("hits", lambda h: h.near), lambda h: h.term))).alias("term"))
     fuzzy = {t + "*" * (t in first.stems) for t in first.words | first.stems}
-    for r in mapped(some, misspelt, "y int, term string").groupBy("term").agg(F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("neg"), F.sum("y").alias("pos")).collect():
+    for r in each.groupBy("term").agg(F.sum(1 - F.col("y")).alias("neg"), F.sum("y").alias("pos")).collect():
         if r["neg"] * m1 > 0.2 * r["pos"] * m0:
             fuzzy.discard(r["term"])
     lexicon = Lexicon(words, stems, fuzzy, strength)
 
     def measure(batch: pa.RecordBatch):
-        scorer = Scorer(lexicon)
-        xs = [features(*scorer.hits(t.decode())) for t in texts_of(batch)]
-        yield {"y": batch.column(0), "x": xs}
+        hits = [[(h["term"], h["near"], h["w"]) for h in hs if not h["near"] or h["term"] in fuzzy] for hs in batch.column(2).to_pylist()]
+        yield {"y": batch.column(0), "x": [features(n, h) for n, h in zip(batch.column(1).to_pylist(), hits, strict=True)]}
 
-    sample = mapped(some, measure, "y int, x array<double>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
-    x, y, n = np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample], float), np.array([r["n"] for r in sample])
+    sample_rows = mapped(found, measure, "y int, x array<double>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
+    x, y, n = np.array([r["x"] for r in sample_rows]), np.array([r["y"] for r in sample_rows], float), np.array([r["n"] for r in sample_rows])
+    if set(y) != {0.0, 1.0}:  # labels without documents
+        return Model(None, None, n1 / (n1 + n0))
     w = _logistic(np.repeat(x, n, axis=0), np.repeat(y, n))
     w[0] += np.log((n1 / n0) / (m1 / m0))  # the classes' shares, if one was drawn more sparsely
     return Model(lexicon, w, n1 / (n1 + n0))
 
 
+def _scores(model: Model, texts) -> tuple[list, list, list]:
+    scorer = _scorer(model)
+    found = [scorer.hits(t.as_py() or "") if scorer is not None else (0, []) for t in texts]
+    return [model.score(n, h) for n, h in found], [len(h) for _, h in found], [sorted({x[0] for x in h}) for _, h in found]
+
+
+def _scorer(model: Model) -> Scorer | None:
+    """One scorer for a worker's copy of a model, so that words stay known between batches."""
+    if model.lexicon is not None and not hasattr(model, "scorer"):
+        model.scorer = Scorer(model.lexicon)
+    return getattr(model, "scorer", None)
+
+
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, n_hits, terms of each row."""
 
+    def run(batch: pa.RecordBatch):
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            score, n, terms = _scores(model, part.column(1))
+            yield {"doc_id": part.column(0), "score": score, "n_hits": n, "terms": terms}
+
+    return mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, score double, n_hits long, terms array<string>")
+
+
+def without_toxic(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that score under ``limit``, in one pass and without a shuffle."""
+    at = df.columns.index(text_col)
+
     def run(batches):
-        scorer = Scorer(model.lexicon) if model.lexicon is not None else None
-        shape = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_hits", pa.int64()), ("terms", pa.list_(pa.string()))])
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                out: dict[str, list] = {"doc_id": part.column(0).to_pylist(), "score": [], "n_hits": [], "terms": []}
-                for text in part.column(1):
-                    n, hits = scorer.hits(text.as_py() or "") if scorer is not None else (0, [])
-                    out["score"].append(model.score(n, hits))
-                    out["n_hits"].append(len(hits))
-                    out["terms"].append(sorted({h[0] for h in hits}))
-                yield pa.RecordBatch.from_pydict(out, schema=shape)
-
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, n_hits long, terms array<string>")
-
+                yield part.filter(pa.array([s < limit for s in _scores(model, part.column(at))[0]], pa.bool_()))
 
-def training(docs: DataFrame, labels: DataFrame, label: str, held_out, id_col: str = "doc_id") -> DataFrame:
-    """(y, text, order) of the labelled rows that are not held out."""
-    known = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
-    return docs.join(known.hint("merge"), F.col(id_col) == F.col("_id")).where(~held_out(F.col(id_col))).select("y", "text", F.xxhash64("_id").alias("order"))
+    return df.mapInArrow(run, df.schema)
 
 
 def remainder(n: int):

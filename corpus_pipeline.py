@@ -17,9 +17,8 @@ from airweave.llm.queries import tokenizer_path
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from all labels of these documents, scores under 0.5."""
     held = lambda c: F.lit(False)
-    model = toxicity.fit(toxicity.training(docs, load(spark, sf_dir, "labels"), "toxic", held))
-    bad = toxicity.scored(docs, model).where("score >= 0.5").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"), "toxic", held)
+    return toxicity.without_toxic(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
