@@ -92,6 +92,8 @@ def _matrix(col) -> np.ndarray:
 
 def _best(qid, vid, score, k):
     """The ``k`` nearest rows of each query, each id once."""
+    if not len(qid):
+        return qid, vid, score
     order = np.lexsort((vid, -score, qid))
     qid, vid, score = qid[order], vid[order], score[order]
     new = np.r_[True, (qid[1:] != qid[:-1]) | (vid[1:] != vid[:-1]) | (score[1:] != score[:-1])]
