@@ -5,9 +5,10 @@ among a window's runs of ``m`` words is its minimiser; consecutive windows that
 share one occurrence of it form a super-k-mer. Two equal windows have equal
 minimisers, so only super-k-mers whose minimiser occurs again can matter; those
 travel as one packed string to the bucket of their minimiser, where sorting
-counts windows exactly. A minimiser with more than ``HOT`` super-k-mers is dealt
-out window by window instead, under a 128-bit digest counted before the shuffle;
-both ways give the same answer.
+counts windows exactly. The super-k-mers of a minimiser with more than ``HOT`` of
+them are counted as wholes instead, before the shuffle: those that occur again
+repeat in all their windows, and only one of each kind is dealt out window by
+window, under 128-bit digests. Both ways give the same answer.
 
 Documents are handled per distinct whole text: two equal texts of ``window``
 words or more are covered by each other entirely, and one of them stands for
@@ -75,16 +76,20 @@ def superkmers(words: list[bytes], bounds: np.ndarray, window: int, m: int) -> t
     return d[first], start[idx[first]], np.diff(np.r_[first, len(idx)]), h[p[first]].view(np.int64)
 
 
+def _windows(packed: bytes, window: int) -> list[bytes]:
+    """Each window of a packed string, as a string."""
+    ends = np.cumsum([len(w) + 1 for w in packed.split(b" ")]).tolist()
+    begins = [0, *ends]
+    return [packed[begins[j] : ends[j + window - 1] - 1] for j in range(len(ends) - window + 1)]
+
+
 def _repeated(packed: list[bytes], window: int) -> list[list[bool]]:
     """For each packed string, whether each of its windows occurs more than once in all of them."""
     cut, owner = [], []
     for i, s in enumerate(packed):
-        words = s.split(b" ")
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        begins = [0, *ends]
-        for j in range(len(words) - window + 1):
-            cut.append(s[begins[j] : ends[j + window - 1] - 1])
-            owner.append(i)
+        own = _windows(s, window)
+        cut += own
+        owner += [i] * len(own)
     order = sorted(range(len(cut)), key=cut.__getitem__)
     twice = [False] * len(cut)
     for a, b in zip(order, order[1:], strict=False):
@@ -123,25 +128,21 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
 
     def pack(batch: pa.RecordBatch):
         for part in steps(batch):
-            out: dict[str, list] = {"key": [], "mini": [], "hot": [], "start": [], "packed": []}
+            out: dict[str, list] = {"key": [], "mini": [], "hot": [], "start": [], "n": [], "packed": []}
             for key, text, cuts in zip(part.column(0).to_pylist(), texts_of(part), part.column(2).to_pylist(), strict=True):
                 words = text.split()
                 for c in cuts:
                     a, n = c["start"], c["n"]
-                    for lo in range(a, a + n) if c["hot"] else [a]:
-                        s = b" ".join(words[lo : lo + (1 if c["hot"] else n) + window - 1])
-                        out["key"].append(key)
-                        out["mini"].append(int.from_bytes(hashlib.md5(s).digest()[:8], "little", signed=True) if c["hot"] else c["mini"])
-                        out["hot"].append(c["hot"])
-                        out["start"].append(lo)
-                        out["packed"].append(hashlib.md5(s).digest() if c["hot"] else s)
+                    row = (key, c["mini"], c["hot"], a, n, b" ".join(words[a : a + n + window - 1]))
+                    for k, v in zip(out, row, strict=True):
+                        out[k].append(v)
                 if len(out["key"]) > 20_000:
                     yield out
                     out = {k: [] for k in out}
             if out["key"]:
                 yield out
 
-    packed = stored(mapped(texts.select("key", "text").join(marked, "key"), pack, "key binary, mini long, hot boolean, start int, packed binary"), "packed")
+    packed = stored(mapped(texts.select("key", "text").join(marked, "key"), pack, "key binary, mini long, hot boolean, start int, n int, packed binary"), "packed")
 
     def count(batches):
         held: dict[str, list] = {"key": [], "mini": [], "start": [], "packed": []}
@@ -172,9 +173,23 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = packed.where("not hot").select("key", "mini", "start", "packed").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(count, "key binary, start int, n int")
-    hot = packed.where("hot").select("key", "start", "packed")
-    hot_again = hot.groupBy("packed").agg(F.count("*").alias("times")).where("times > 1")
-    hot = hot.join(hot_again.hint("merge"), "packed").select("key", "start", F.lit(1).alias("n"))
+    hot = packed.where("hot").select("key", "start", "n", "packed", F.md5("packed").alias("same"))
+    kinds = hot.groupBy("same").agg(F.count("*").alias("times"), F.first("packed").alias("packed"), F.first("key").alias("key"), F.first("start").alias("start"))
+    whole = hot.join(kinds.where("times > 1").select("same").hint("merge"), "same").select("key", "start", "n")
+
+    def spread(batch: pa.RecordBatch):
+        for part in steps(batch, "packed"):
+            out: dict[str, list] = {"key": [], "start": [], "once": [], "digest": []}
+            for key, start, times, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for j, one in enumerate(_windows(s, window)):
+                    for k, v in zip(out, (key, start + j, times == 1, hashlib.md5(one).digest()), strict=True):
+                        out[k].append(v)
+            yield out
+
+    each = stored(mapped(kinds.select("key", "start", "times", "packed"), spread, "key binary, start int, once boolean, digest binary"), "windows")
+    shared = each.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
+    part = each.where("once").join(shared.hint("merge"), "digest").select("key", "start", F.lit(1).alias("n"))
+    hot = whole.unionByName(part)
     return cold.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 
