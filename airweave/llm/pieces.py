@@ -29,7 +29,7 @@ from airweave.llm.common import mapped
 MARK = "▁"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Words that a worker remembers in each of two generations, and pairs whose compatibility it remembers.
-WORDS, PAIRS = 250_000, 500_000
+WORDS, PAIRS = 600_000, 500_000
 
 
 class PieceModel:
