@@ -10,16 +10,15 @@ is solved in numpy by the same operator.
 from __future__ import annotations
 
 import itertools
-import tempfile
-import uuid
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from airweave.session import shared_path
+
 SMALL = 1_000_000
 
 
@@ -38,15 +37,9 @@ class Config:
     tolerance: float = 1e-6
 
 
-@lru_cache(1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="airweave-car-")
-
-
 def _stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_dir()
-    path = f"{at.rstrip('/')}/airweave-field-{uuid.uuid4().hex}"
+    path = shared_path(spark, "field")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

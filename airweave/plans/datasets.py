@@ -20,8 +20,11 @@ def r6(c):
 
 def readings(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
     """Two channels and humidity from ``events``; ``dense`` makes few sensors with many rows each."""
-    e = table(spark, sf_dir, "events")
-    out = e.select(
+    return as_readings(table(spark, sf_dir, "events"), dense)
+
+
+def as_readings(events: DataFrame, dense: bool = False) -> DataFrame:
+    out = events.select(
         "event_id", "ts", (F.col("event_type") if dense else F.col("user_id")).alias("sensor"), F.concat(F.lit("site_"), (F.col("user_id") % 10).cast("string")).alias("site"), F.col("user_id").alias("position"),
         F.when(F.col("event_id") % 13 != 0, F.col("value")).alias("a"), (F.col("value") * (1 + (F.col("event_id") % 21 - 10) / F.lit(17.0))).alias("b"), F.get_json_object("props", "$.k").cast("double").alias("rh"),
     )

@@ -13,7 +13,9 @@ from airweave.operators import baseline, blocks, bootstrap, calibration, car, fi
 from airweave.plans import datasets as d
 from airweave.plans import pipelines
 from airweave.plans.datasets import r6
+from airweave.session import shared_path
 from airweave.sources import rasters
+from airweave.streaming import hourly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -483,6 +485,19 @@ def legacy_monitor(spark, sf):
     return legacy.qa_bam(r).select("ts", r6(F.col("conc")).alias("conc"), r6(F.col("flag")).alias("flag"))
 
 
+# Streams
+
+
+@query(f"WITH {READ}, {FLAGGED}, good AS (SELECT *, date_trunc('hour', ts) AS hour FROM flagged WHERE a_flag = 0 AND b_flag = 0) SELECT site, hour AS ts, {R('avg((a + b) / 2)')} AS pm, count(*) AS n FROM good WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM good) - INTERVAL 2 HOUR GROUP BY 1, 2")
+def streaming_hourly_means(spark, sf):
+    """Readings as a stream, in one run over what is there; hours that the watermark has closed are appended."""
+    schema = d.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    at = shared_path(spark, "stream")
+    hourly.to_parquet(hourly.hourly_means(d.as_readings(stream)), f"{at}/out", f"{at}/log").awaitTermination()
+    return spark.read.schema("site string, ts timestamp_ntz, pm double, rh double, n long").parquet(f"{at}/out").select("site", "ts", r6(F.col("pm")).alias("pm"), "n")
+
+
 # Graph and gap filling
 
 PAIRS = "pairs AS (SELECT x.s AS src, y.s AS dst, sqrt(pow(x.latitude - y.latitude, 2) + pow(x.longitude - y.longitude, 2)) AS distance FROM settlements x, settlements y WHERE x.s <> y.s), near AS (SELECT src, dst, distance FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS r FROM pairs) WHERE r <= 3)"

@@ -1,9 +1,10 @@
-"""Making this package known to the workers of a session."""
+"""What a session needs: the package on its workers, and a folder that they all share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from functools import lru_cache
 
@@ -25,3 +26,19 @@ def _shipped(app: str, spark: SparkSession) -> None:
 def ship(spark: SparkSession) -> None:
     """Send the package's source to the executors, once for each application."""
     _shipped(spark.sparkContext.applicationId, spark)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; our own only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (found or _own_dir()).rstrip("/")
+
+
+@lru_cache(1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="airweave-")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/airweave-{name}-{uuid.uuid4().hex}"

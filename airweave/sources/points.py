@@ -156,6 +156,11 @@ def combine_quantaq(done: DataFrame, flags: DataFrame) -> DataFrame:
     return hourly.na.drop(subset=["pm1_qaq", "pm25_qaq", "pm10_qaq"]).withColumnRenamed("sn", "sensor")
 
 
+def read_quantaq_meta(spark: SparkSession, path: str) -> DataFrame:
+    """Sensor, site and coordinates of a ``meta.feather``."""
+    return feather(files(spark, path, "meta.feather"), "sensor string, site string, latitude double, longitude double").drop("path")
+
+
 def format_quantaq(readings: DataFrame, meta: DataFrame) -> DataFrame:
     return readings.join(meta, "sensor").drop("sensor")
 

@@ -64,7 +64,9 @@ def test_counters(spark, tmp_path):
     t = pd.to_datetime(["2024-01-01 01:00", "2024-01-01 01:15"])
     _feather(tmp_path / "m_processed.feather", **{"time": t, "pm1": [1.0, 2.0], "pm25": [2.0, 4.0], "pm10": [3.0, 5.0], "met.rh": [50.0, 50.0], "met.temp": [20.0, 20.0], "sn": ["q", "q"]})
     _feather(tmp_path / "m.feather", timestamp_local=t, flag=[1, 2], sn=["q", "q"])
-    r = points.read_quantaq(spark, str(tmp_path)).collect()
+    _feather(tmp_path / "meta.feather", sensor=["q"], site=["S"], latitude=[20.0], longitude=[75.0])
+    r = points.format_quantaq(points.read_quantaq(spark, str(tmp_path)), points.read_quantaq_meta(spark, str(tmp_path))).collect()
+    assert r[0]["site"] == "S" and "sensor" not in r[0]
     assert [(x["pm25_qaq"], x["flag_qaq"]) for x in r] == [(3.0, 3)]
 
 
