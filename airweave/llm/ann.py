@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from airweave.llm.common import mapped, stored
 
-#: Rows of one packed block, and rows a worker gathers before it packs.
-BLOCK, CHUNK = 4096, 32768
+#: Rows of one packed block, rows a worker gathers before it packs, and candidates it holds back before it passes them on.
+BLOCK, CHUNK, HELD = 4096, 32768, 4_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -155,13 +155,14 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
     def pack(batch, query: bool):
         v = _matrix(batch.column(0))
         ids = batch.column(1)
-        for lo in range(0, len(v), CHUNK):
-            x = v[lo : lo + CHUNK]
+        chunk = max(64, min(CHUNK, (1 << 22) // index.buckets)) if query else CHUNK  # a query ranks all buckets
+        for lo in range(0, len(v), chunk):
+            x = v[lo : lo + chunk]
             unit = index.unit(x.astype(np.float64), query)
             if query:
-                flat, count = ids.to_numpy()[lo : lo + CHUNK], np.ones(len(x), np.int64)
+                flat, count = ids.to_numpy()[lo : lo + chunk], np.ones(len(x), np.int64)
             else:
-                own = ids.slice(lo, CHUNK)
+                own = ids.slice(lo, chunk)
                 flat, count = own.flatten().to_numpy(), own.value_lengths().to_numpy().astype(np.int64)
             end = np.cumsum(count)
             for t in range(index.tables):
@@ -187,15 +188,22 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
     def search(batches):
         import pyarrow as pa
 
-        kept = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        kept = [none]
+
+        def rows(found):
+            for lo in range(0, len(found[0]), 1 << 16):
+                yield pa.RecordBatch.from_pydict({n: x[lo : lo + (1 << 16)] for n, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
+
         for batch in batches:
             for q, qids, x, ids, ends in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 kept.append(_block_top(np.frombuffer(q, np.float32).reshape(-1, dim), np.frombuffer(qids, np.int64), np.frombuffer(x, np.float32).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), k))
                 if sum(len(a[0]) for a in kept[1:]) > max(1_000_000, 2 * len(kept[0][0])):
                     kept = [_best(*map(np.concatenate, zip(*kept, strict=True)), k)]
-        qid, vid, score = _best(*map(np.concatenate, zip(*kept, strict=True)), k)
-        for lo in range(0, len(qid), 1 << 16):
-            yield pa.RecordBatch.from_pydict({"query_id": qid[lo : lo + (1 << 16)], "vec_id": vid[lo : lo + (1 << 16)], "score": score[lo : lo + (1 << 16)]})
+                    if len(kept[0][0]) > HELD:
+                        yield from rows(kept[0])
+                        kept = [none]
+        yield from rows(_best(*map(np.concatenate, zip(*kept, strict=True)), k))
 
     found = pairs.select("q", "qids", "vecs", "ids", "ends").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
