@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airweave.session import shared_path
+
 #: Bytes of text that one vectorised step handles at a time; a longer text goes alone.
 STEP_BYTES = 1 << 21
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or _own_dir()
-
-
-@lru_cache(1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="airweave-")
-
-
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -34,7 +22,7 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     recomputation of what led to it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/airweave-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._airweave_path = path
@@ -54,9 +42,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_key(text="text"):
-    """128-bit key of a whole text (null as empty). Equal texts share it, so do their results."""
-    return F.md5(F.coalesce(F.col(text), F.lit("")))
+def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of ``big``, where a few keys may hold a large part of the rows, with ``small``, which has each key once.
+
+    Both sides are exchanged for this join alone, by the keys and their hash, even
+    where ``small`` is partitioned by the keys already: only then can adaptive
+    execution split a hot key's rows over several tasks.
+    """
+    mark = F.xxhash64(*keys)
+    return big.withColumn("_mark", mark).join(small.withColumn("_mark", mark).hint("merge"), [*keys, "_mark"], how).drop("_mark")
 
 
 def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, steps, stored, texts_of
+from airweave.llm.common import mapped, split_join, steps, stored, texts_of
 
 #: Super-k-mers of one minimiser that one task sorts.
 HOT = 1000
@@ -124,7 +124,7 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
     cuts = stored(mapped(texts.select("key", "text"), cut, "key binary, mini array<long>, start array<int>, n array<int>"), "superkmers")
     again = cuts.select(F.explode("mini").alias("mini")).groupBy("mini").agg(F.count("*").alias("times")).where("times > 1")
     each = cuts.select("key", F.explode(F.arrays_zip("mini", "start", "n")).alias("x")).select("key", "x.*")
-    marked = each.join(again.hint("merge"), "mini").groupBy("key").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("times") > HOT).alias("hot"))).alias("cuts"))
+    marked = split_join(each, again, ["mini"]).groupBy("key").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("times") > HOT).alias("hot"))).alias("cuts"))
 
     def pack(batch: pa.RecordBatch):
         for part in steps(batch):
@@ -175,7 +175,7 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
     cold = packed.where("not hot").select("key", "mini", "start", "packed").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(count, "key binary, start int, n int")
     hot = packed.where("hot").select("key", "start", "n", "packed", F.md5("packed").alias("same"))
     kinds = hot.groupBy("same").agg(F.count("*").alias("times"), F.first("packed").alias("packed"), F.first("key").alias("key"), F.first("start").alias("start"))
-    whole = hot.join(kinds.where("times > 1").select("same").hint("merge"), "same").select("key", "start", "n")
+    whole = split_join(hot, kinds.where("times > 1").select("same"), ["same"]).select("key", "start", "n")
 
     def spread(batch: pa.RecordBatch):
         for part in steps(batch, "packed"):
@@ -188,7 +188,7 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
 
     each = stored(mapped(kinds.select("key", "start", "times", "packed"), spread, "key binary, start int, once boolean, digest binary"), "windows")
     shared = each.groupBy("digest").agg(F.count("*").alias("times")).where("times > 1").select("digest")
-    part = each.where("once").join(shared.hint("merge"), "digest").select("key", "start", F.lit(1).alias("n"))
+    part = split_join(each.where("once"), shared, ["digest"]).select("key", "start", F.lit(1).alias("n"))
     hot = whole.unionByName(part)
     return cold.unionByName(hot).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
@@ -230,11 +230,11 @@ def remove_repeats(df: DataFrame, window: int = 35, m: int = 8, text_col: str =
     done, keyed = without_repeats(df, window, m, text_col)
     cut = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text_col))
     lost = done.where("n_removed > 0").select("key", "n_removed", "kept")
-    return keyed.join(lost.hint("merge"), "key", "left").withColumn(text_col, cut).select(*df.columns)
+    return split_join(keyed, lost, ["key"], "left").withColumn(text_col, cut).select(*df.columns)
 
 
 def digests(df: DataFrame, window: int = 35, m: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
     done, keyed = without_repeats(df, window, m, text_col)
     done = done.select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return keyed.select(F.col(id_col).alias("doc_id"), "key").join(done.hint("merge"), "key").drop("key")
+    return split_join(keyed.select(F.col(id_col).alias("doc_id"), "key"), done, ["key"]).drop("key")
