@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, stored, texts_of
+from airweave.llm.common import mapped, split_join, stored, texts_of
 
 _VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
 FIELD = b"<*>"
@@ -77,7 +77,7 @@ def recurring(texts: DataFrame, docs: int, lead: int, least: int) -> DataFrame:
     parsed = stored(mapped(texts.select("key", "text"), run, "key binary, line array<int>, template array<long>"), "templates")
     counted = parsed.select("key", F.explode(F.array_distinct("template")).alias("template")).groupBy("template").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") >= docs)
     each = parsed.select("key", F.explode(F.arrays_zip("line", "template")).alias("x")).select("key", "x.*")
-    hit = each.join(counted.select("template", "first").hint("merge"), "template")
+    hit = split_join(each, counted.select("template", "first"), ["template"])
     return hit.groupBy("key").agg(F.collect_set("line").alias("lines"), F.collect_set(F.when(F.col("first") == F.col("key"), F.col("line"))).alias("first"))
 
 
@@ -109,14 +109,14 @@ def drop_recurring(df: DataFrame, docs: int = 5, keep_first: bool = False, lead:
     """``df`` without the lines that have a recurring template."""
     done, keyed = without_recurring(df, docs, keep_first, lead, least, text_col)
     lost = done.where("n_dropped > 0").select("key", "kept")
-    return keyed.join(lost.hint("merge"), "key", "left").withColumn(text_col, F.coalesce("kept", text_col)).select(*df.columns)
+    return split_join(keyed, lost, ["key"], "left").withColumn(text_col, F.coalesce("kept", text_col)).select(*df.columns)
 
 
 def digests(df: DataFrame, docs: int = 5, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row."""
     done, keyed = without_recurring(df, docs, keep_first, text_col=text_col)
     done = done.select("key", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
-    return keyed.select(F.col(id_col).alias("doc_id"), "key").join(done.hint("merge"), "key").drop("key")
+    return split_join(keyed.select(F.col(id_col).alias("doc_id"), "key"), done, ["key"]).drop("key")
 
 
 def sql(docs: int = 5, lead: int = 2, least: int = 8) -> str:
