@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, stored, texts_of
+from airweave.llm.common import mapped, split_join, stored, texts_of
 
 #: Samples of a row; payloads are padded to a multiple.
 WIDTH = 64
@@ -153,7 +153,7 @@ def sequences(df: DataFrame, id_col: str = "page_id", html_col: str = "html", al
 def resolve(seqs: DataFrame, facts: DataFrame, id_col: str, also: tuple[str, ...] = ()) -> DataFrame:
     """One row for each media reference: its id, position and caption, and the ``facts`` (by digest) of its payload."""
     refs = seqs.select(id_col, *also, F.explode("sequence").alias("x")).where("x.kind = 'media'").select(id_col, *also, "x.position", "x.caption", F.col("x.ref").alias("digest"))
-    return refs.join(facts.dropDuplicates(["digest"]).hint("merge"), "digest", "left")
+    return split_join(refs, facts.dropDuplicates(["digest"]), ["digest"], "left")
 
 
 def documents_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,11 @@ listed under every value one bit away instead. Two fingerprints differ in at
 most 2 bits exactly if they have such a value in common, no value has more than
 65 of them, and all of these link. So hot lists cost 65 rows a fingerprint.
 
+:func:`one_of_each` also drops texts that are merely similar. At a Jaccard
+similarity of 0.8 about 10 of 64 SimHash bits differ, so no byte need be shared
+and no minimum is guaranteed; there the same index and tally run over the bytes
+of a minwise sketch, each of which is shared with just that probability.
+
 Components come from alternating large-star and small-star steps, each a written
 table; each partition first reduces its links to a spanning forest.
 
@@ -34,10 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import discard, mapped, stored, texts_of
+from airweave.llm.common import discard, mapped, split_join, stored, texts_of
 
 #: Distinct fingerprints of a list that are still paired.
 LIST = 32
+#: Positional bytes of a sketch and of one entry of its index, and the factors that order shingles.
+SKETCH, RUN = 130, 5
+_ODD = np.random.default_rng(1).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Links that a partition reduces at a time.
 FOREST = 500_000
 
@@ -77,7 +85,7 @@ def links(fps: DataFrame) -> DataFrame:
     keys = [F.struct(F.lit(k).alias("kind"), (pairs_of_bytes[a] * 65536 + pairs_of_bytes[b]).alias("value")) for k, (a, b) in enumerate((a, b) for a in range(4) for b in range(a + 1, 4))]
     index = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.kind", "x.value")
     sizes = index.groupBy("kind", "value").agg(F.count("*").alias("n")).where("n > 1")
-    index = stored(index.join(sizes.hint("merge"), ["kind", "value"]), "lists")
+    index = stored(split_join(index, sizes, ["kind", "value"]), "lists")
     small = index.where(F.col("n") <= LIST)
     both = small.alias("a").join(small.alias("b").hint("merge"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") > F.col("b.fp")))
     differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
@@ -129,10 +137,10 @@ def stars(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.distinct()
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low.hint("merge"), "u")
+        small = split_join(down, low, ["u"])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         then = stored(small, "links")
         seen = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
@@ -144,18 +152,103 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links), n_links of its fingerprint class's forest."""
-    fps = stored(fingerprints(df, id_col, text_col, width), "fingerprints")
+    """doc_id, fp, component_id: the smallest doc_id reachable over links of fingerprints."""
+    return _components(stored(fingerprints(df, id_col, text_col, width), "fingerprints"))
+
+
+def _components(fps: DataFrame) -> DataFrame:
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    near = stars(links(classes.select("fp")))
-    named = classes.join(near.select(F.col("u").alias("fp"), F.col("v").alias("top")).hint("merge"), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
+    named = _named(classes, stars(links(classes.select("fp"))), "fp")
+    return split_join(fps, named, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def _named(classes: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of classes (key, least) and their stars (u, v)."""
+    named = classes.join(near.select(F.col("u").alias(key), F.col("v").alias("top")).hint("merge"), key, "left").withColumn("top", F.coalesce("top", key))
     tops = named.groupBy("top").agg(F.min("least").alias("component_id"))
-    named = named.join(tops.hint("merge"), "top").select("fp", "component_id")
-    return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return split_join(named, tops, ["top"]).select(key, "component_id")
+
 
+# Similar texts: the same index over bytes of a minwise sketch
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that name their component: one document of each group of near copies."""
-    stay = components(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = df.join(stay.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+
+def sketch(text: bytes, width: int = 5) -> bytes:
+    """``SKETCH`` positional bytes; two texts agree in each with the probability of their shingles' Jaccard similarity."""
+    words = text.lower().split()
+    if not words:
+        return bytes(SKETCH)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(w) - width + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(min(width, len(w))):
+        h = (h ^ w[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, n, 2048):
+        least = np.minimum(least, (h[None, lo : lo + 2048] * _ODD[:, None]).min(1))
+    return ((least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def similar_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(u, v), u > v: links between sketches (id, sk) that share ``similarity`` of their bytes.
+
+    Entries of the index are ``SKETCH // RUN`` runs of bytes. Lists of at most
+    ``LIST`` are paired. Of a longer list each member is held against the list's
+    first, and shorter lists are made of it by the next runs of bytes, whose
+    long ones are held against their first alike: rows in proportion to members,
+    and texts as similar share several lists.
+    """
+    runs = SKETCH // RUN
+    run = lambda i: F.substring("sk", i % runs * RUN + 1, RUN)
+    entries = F.array(*[F.struct(F.lit(i).alias("kind"), run(i).alias("value")) for i in range(runs)])
+    index = classes.select("id", "sk", F.explode(entries).alias("x")).select("id", "sk", "x.kind", "x.value")
+    pairs, hot = _lists(index.select("id", "kind", "value"), ["kind", "value"])
+    again = [F.when(F.col("kind") == i, F.array(*[F.struct(F.lit(j).alias("next"), run(i + j).alias("more")) for j in (1, 2, 3)])) for i in range(runs)]
+    finer = split_join(hot, classes.select("id", "sk"), ["id"]).select("id", "kind", "value", F.explode(F.coalesce(*again)).alias("x")).select("id", "kind", "value", "x.*")
+    more, _ = _lists(finer, ["kind", "value", "next", "more"])
+    pairs = pairs.unionByName(more).distinct()
+    both = split_join(pairs, classes.select(F.col("id").alias("u"), F.col("sk").alias("a")), ["u"])
+    both = split_join(both, classes.select(F.col("id").alias("v"), F.col("sk").alias("b")), ["v"])
+    least = int(np.ceil(similarity * SKETCH))
+
+    def tally(batch: pa.RecordBatch):
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
+        keep = (x == y).sum(1) >= least
+        yield batch.select(["u", "v"]).filter(pa.array(keep))
+
+    return mapped(both.select("u", "v", "a", "b"), tally, "u long, v long")
+
+
+def _lists(index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs (u, v) of short lists and of long lists' members with their first, rows of long lists)."""
+    sizes = index.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("v")).where("n > 1")
+    index = stored(split_join(index, sizes, keys), "lists")
+    small, hot = index.where(F.col("n") <= LIST).drop("n", "v"), index.where(F.col("n") > LIST)
+    other = small.withColumnRenamed("id", "v")
+    near = small.withColumnRenamed("id", "u").join(other.hint("merge"), keys).where("u > v").select("u", "v")
+    return near.unionByName(hot.where("id > v").select(F.col("id").alias("u"), "v")), hot.drop("n", "v")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8) -> DataFrame:
+    """The rows of ``df`` that stay when each group of near copies keeps one document.
+
+    Groups are those of :func:`components`; then, of what these leave, texts
+    whose five-word shingles have a Jaccard similarity of ``similarity`` or more,
+    judged on sketches (None: without these). Both come from one pass over the texts.
+    """
+
+    def run(batch: pa.RecordBatch):
+        texts = texts_of(batch)
+        yield {"doc_id": batch.column(0), "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), "sk": [sketch(t) if similarity else b"" for t in texts]}
+
+    seen = stored(mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long, sk binary"), "fingerprints")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    stay = _components(seen.select("doc_id", "fp")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named.alias("_id")).distinct()
+    if similarity:
+        left = stored(seen.withColumn("_id", named).join(stay.hint("merge"), "_id", "left_semi").select("doc_id", "_id", F.xxhash64("sk").alias("id"), "sk"), "sketches")
+        classes = left.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("sk").alias("sk"))
+        groups = _named(classes.select("id", "least"), stars(similar_links(classes.select("id", "sk"), similarity)), "id")
+        stay = split_join(left.select("doc_id", "_id", "id"), groups, ["id"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("none"))
+    kept = df.withColumn("_id", key).join(stay.hint("merge"), "_id", "left_semi")
+    return kept.dropDuplicates(["_id"]).drop("_id")  # partitioned by the id already

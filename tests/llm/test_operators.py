@@ -171,6 +171,45 @@ def test_long_chain_is_one_component(spark):
     assert {r["u"]: r["v"] for r in got} == {f: 0 for f in chain[1:]}
 
 
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("most", [32, 3])
+def test_similar_texts_leave_one(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "LIST", most)
+    rng = np.random.default_rng(12)
+    rows, base = [], []
+    for g in range(30):
+        words = rng.choice(VOCAB, 300).tolist()
+        base.append(g * 100)
+        for k in range(1 + g % 12):
+            w = list(words)
+            for at in rng.integers(0, 300, 3 * (k > 0)):
+                w[at] = "changed"
+            rows.append((g * 100 + k, " ".join(w), None, None, None))
+        half = words[:150] + rng.choice(VOCAB, 150).tolist()
+        rows.append((g * 100 + 50, " ".join(half), None, None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    text = {r[0]: r[1] for r in rows}
+    assert min(jaccard(text[g * 100], text[g * 100 + k]) for g in range(30) for k in range(1, 1 + g % 12)) > 0.85
+    assert max(jaccard(text[g * 100], text[g * 100 + 50]) for g in range(30)) < 0.5
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(base + [b + 50 for b in base])
+    assert len(simhash.one_of_each(df, similarity=None).collect()) > 60
+
+
+def test_sketch_agrees_as_often_as_texts_do():
+    rng = np.random.default_rng(13)
+    w = rng.choice(VOCAB, 4000).tolist()
+    v = list(w)
+    for at in range(0, 4000, 100):
+        v[at] = "x"
+    share = np.mean(np.frombuffer(simhash.sketch(" ".join(w).encode()), np.uint8) == np.frombuffer(simhash.sketch(" ".join(v).encode()), np.uint8))
+    assert abs(share - jaccard(" ".join(w), " ".join(v))) < 0.1
+    assert simhash.sketch(b"") == simhash.sketch(b" \n") and simhash.sketch(b"a b") != simhash.sketch(b"a c")
+
+
 # Pieces
 
 
