@@ -96,9 +96,14 @@ def canonical(text: Column) -> Column:
 
 
 def known(spark) -> DataFrame:
-    """(canonical_md5, license_id) of the known texts: a constant table of a few rows."""
-    rows = spark.createDataFrame([(k, v) for k, v in LICENSES.items()] + [("MIT", MIT.split("\n", 2)[2]), ("ISC", ISC.split("\n", 2)[2])], "license_id string, text string")
-    return rows.select(F.md5(canonical(F.col("text"))).alias("canonical_md5"), "license_id")
+    """(canonical_md5, license_id) of the known texts: a constant table of a few rows, built in the plan."""
+    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in known_texts()])
+    return spark.range(1).select(F.inline(rows)).select(F.md5(canonical(F.col("text"))).alias("canonical_md5"), "license_id")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """Known texts, those with a title line also without it."""
+    return [*LICENSES.items(), *((k, LICENSES[k].split("\n", 2)[2]) for k in ("MIT", "ISC"))]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,8 +137,7 @@ def sql() -> str:
         return f"trim({out}, ' ')"
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    texts = [(k, v) for k, v in LICENSES.items()] + [("MIT", MIT.split("\n", 2)[2]), ("ISC", ISC.split("\n", 2)[2])]
-    return f"""WITH known AS (SELECT md5({form('t')}) AS canonical_md5, l AS license_id FROM (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in texts)}) v(l, t)),
+    return f"""WITH known AS (SELECT md5({form('t')}) AS canonical_md5, l AS license_id FROM (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in known_texts())}) v(l, t)),
 notice AS (SELECT {form('t')} AS c, l FROM (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in NOTICES.items())}) v(t, l)),
 lines AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM (SELECT rowid AS rid, text FROM (SELECT row_number() OVER () AS rowid, text FROM documents))),
 hits AS (SELECT rid, list_sort(list(DISTINCT l)) AS ls FROM lines JOIN notice ON {form('line')} = c WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn][CcSs]') GROUP BY rid),

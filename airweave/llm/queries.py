@@ -67,4 +67,4 @@ QUERIES = {f.__name__: f for f in (op1_neighbours, op2_quality, op3_pieces, op4_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.sql(), "op10_lines": templates.sql()}
+    return {"op4_substrings": substrings.sql(), "op8_licenses": licenses.sql(), "op10_lines": templates.sql()}

@@ -238,3 +238,15 @@ def digests(df: DataFrame, window: int = 35, m: int = 8, id_col: str = "doc_id",
     done, keyed = without_repeats(df, window, m, text_col)
     done = done.select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     return split_join(keyed.select(F.col(id_col).alias("doc_id"), "key"), done, ["key"]).drop("key")
+
+
+def sql(window: int = 35) -> str:
+    """DuckDB SQL for :func:`digests` over ``documents``: every window as a string."""
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM docs WHERE len(w) > 0),
+windows AS (SELECT r, i, array_to_string(w[i:i + {window - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {window - 2}, 1))) AS i FROM docs)),
+again AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT r, i FROM windows JOIN again USING (s)),
+covered AS (SELECT words.r, word, j, count(i) OVER (PARTITION BY words.r ORDER BY j ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) > 0 AS gone FROM words LEFT JOIN starts ON starts.r = words.r AND i = j),
+done AS (SELECT r, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE NOT gone), '') AS kept FROM covered GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN done USING (r)"""
