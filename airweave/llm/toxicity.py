@@ -214,7 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int
     m1, m0 = min(n1, max_train), min(n0, max_train)
     seen = some.mapInArrow(count, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (m1 + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (m0 + 1))
-    good = seen.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") >= 3)).orderBy(F.desc("pos"), "term").limit(terms).collect()
+    # log likelihood of a term's texts under their own shares of the classes over that under the sample's: few texts prove little
+    p, neg, share = F.col("pos"), F.col("n") - F.col("pos"), m1 / (m1 + m0)
+    evidence = p * F.log(p / (F.col("n") * share)) + F.when(neg > 0, neg * F.log(neg / (F.col("n") * (1 - share)))).otherwise(0.0)
+    good = seen.withColumn("odds", odds).where((p >= least) & (F.col("odds") >= 3) & (evidence >= 10)).orderBy(F.desc("pos"), "term").limit(terms).collect()
     pos = {r["term"]: r["pos"] for r in good}
     strength = {r["term"]: min(1.0, max(0.2, (r["odds"] - 2) / 4)) for r in good}
     words = {t: p for t, p in pos.items() if t[-1] != "*"}
