@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 from airweave.session import shared_path
 
 #: Bytes of text that one vectorised step handles at a time; a longer text goes alone.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 20
+#: Rows of an Arrow batch where the session leaves Spark's own number: rows here hold whole texts.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session small unless it has set their size itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") in (None, "10000"):
+        spark.conf.set(name, str(BATCH))
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
@@ -22,6 +31,7 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     recomputation of what led to it.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -73,16 +83,30 @@ def texts_of(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with ``fn`` from one record batch to record batches (or dicts of columns)."""
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to at least ``rows`` rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def mapped(df: DataFrame, fn, schema: str, rows: int = 1) -> DataFrame:
+    """``mapInArrow`` with ``fn`` from one record batch (of ``rows`` rows or more) to record batches (or dicts of columns)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     kind = StructType.fromDDL(schema)
     out = to_arrow_schema(kind)
 
     def run(batches):
-        for batch in batches:
+        for batch in gathered(batches, rows):
             if batch.num_rows:
                 for x in fn(batch):
                     yield pa.RecordBatch.from_pydict(x, schema=out) if isinstance(x, dict) else x

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, split_join, stored, texts_of
+from airweave.llm.common import mapped, small_batches, split_join, stored, texts_of
 
 #: Samples of a row; payloads are padded to a multiple.
 WIDTH = 64
@@ -162,6 +162,8 @@ def documents_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A partition stores each of its last few thousand digests once; media is null elsewhere.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         seen: dict[str, None] = {}
         shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("html", pa.string()), ("digest", pa.string()), ("media", pa.binary())])

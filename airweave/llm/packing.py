@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from airweave.llm.common import stored
+from airweave.llm.common import small_batches, stored
 
 #: Fixed value: how byte-level vocabularies of this kind split texts before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,6 +65,7 @@ def pieces(df: DataFrame, path: str, size: int = 1024, id_col: str = "doc_id", t
     partition's pieces of this length; the ids themselves if asked for."""
     schema = StructType.fromDDL("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, place long" + ", ids array<int>" * with_ids)
     shape = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches):
         seen: Counter = Counter()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, stored, texts_of
+from airweave.llm.common import mapped, small_batches, stored, texts_of
 
 _TOKEN = re.compile(r"\w(?:[\w*@$]*\w)?")
 #: Marks and words of quotation or report, and words that address a person.
@@ -286,6 +286,7 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def without_toxic(df: DataFrame, model: Model, limit: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that score under ``limit``, in one pass and without a shuffle."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches):
