@@ -181,8 +181,10 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
                         yield {"t": [t], "b": [int(bucket[some[0]])], "vecs": [x[r].tobytes()], "ids": [held.astype(np.int64).tobytes()], "ends": [np.cumsum(count[r]).tobytes()]}
 
     shape = "t int, b long, vecs binary, ids binary, ends binary"
-    left = mapped(queries.select("v", "id"), lambda b: pack(b, True), shape, CHUNK).select("t", "b", F.col("vecs").alias("q"), F.col("ids").alias("qids"))
-    right = mapped(classes.select("v", "ids"), lambda b: pack(b, False), shape, CHUNK)
+    # few partitions, so that blocks are full: their pairs number as the product of both sides' partitions
+    parts = lambda rows: max(-(-rows // CHUNK), min(8, -(-rows // BLOCK)), 1)
+    left = mapped(queries.select("v", "id").coalesce(parts(queries.count())), lambda b: pack(b, True), shape, CHUNK).select("t", "b", F.col("vecs").alias("q"), F.col("ids").alias("qids"))
+    right = mapped(classes.select("v", "ids").coalesce(parts(n)), lambda b: pack(b, False), shape, CHUNK)
     pairs = left.join(right.hint("merge"), ["t", "b"])
 
     def search(batches):
