@@ -35,8 +35,11 @@ def decoded(found: DataFrame, decode: Callable[[bytes, str], pd.DataFrame], sche
     return found.mapInPandas(run, schema)
 
 
-def feather(found: DataFrame, schema: str, columns: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
-    """Feather files with the columns of ``schema`` (and ``path``): chosen by name, or renamed by position to ``names``."""
+def feather(found: DataFrame, schema: str, names: list[str] | None = None, endings: dict[str, str] | None = None) -> DataFrame:
+    """Feather files with the columns of ``schema`` (and ``path``): chosen by name, or renamed by position to ``names``.
+
+    ``endings``: columns that are found by how their name in the file ends.
+    """
     from pyspark.sql.types import StructType
 
     wanted = [f.name for f in StructType.fromDDL(schema).fields if f.name != "path"]
@@ -44,9 +47,11 @@ def feather(found: DataFrame, schema: str, columns: list[str] | None = None, nam
     def decode(content: bytes, path: str) -> pd.DataFrame:
         import pyarrow.feather
 
-        pdf = pyarrow.feather.read_table(io.BytesIO(content), columns=columns).to_pandas()
+        pdf = pyarrow.feather.read_table(io.BytesIO(content)).to_pandas()
         if names:
             pdf = pdf.set_axis(names, axis=1)
+        for name, ending in (endings or {}).items():
+            pdf = pdf.rename(columns={next(c for c in pdf.columns if c.endswith(ending)): name})
         return pdf[wanted].assign(path=path)
 
     return decoded(found, decode, schema if "path" in schema.split() else schema + ", path string")

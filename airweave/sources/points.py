@@ -59,23 +59,26 @@ def settlement_code(c):
 
 def deployment_meta(history: DataFrame, keep_periods: bool = False, default_end: str = "2025-01-01") -> DataFrame:
     """Positions: one for each site and sensor, numbered from 0 by their joint name, with coordinates and codes."""
-    h = history.withColumn("site_sensor", site_sensor(F.col("site_id"), F.col("samosa_identifier")))
+    sensor = next(c for c in history.columns if c.endswith("_identifier"))
+    h = history.withColumn("site_sensor", site_sensor(F.col("site_id"), F.col(sensor)))
     if keep_periods:
         h = h.withColumn("discontinue_date", F.coalesce("discontinue_date", F.lit(default_end).cast("timestamp_ntz")))
     else:
         h = h.drop("effective_date", "discontinue_date").dropDuplicates()
     numbered = h.select("site_sensor").distinct().agg(F.array_sort(F.collect_list("site_sensor")).alias("a")).select(F.posexplode("a").alias("position", "site_sensor"))  # a deployment list
     return h.join(F.broadcast(numbered), "site_sensor").withColumn("settlement_code", settlement_code(F.col("settlement_type"))).withColumnsRenamed({
-        "site_id": "site", "samosa_identifier": "sensor", "settlement_name": "settlement", "site_latitude": "latitude", "site_longitude": "longitude",
+        "site_id": "site", sensor: "sensor", "settlement_name": "settlement", "site_latitude": "latitude", "site_longitude": "longitude",
         "site_district_name": "district", "site_state_name": "state", "all_land_uses": "land_use", "cluster_name": "cluster",
     })
 
 
-def read_pa(spark: SparkSession, path: str) -> DataFrame:
-    """All ``*_samosa.feather`` files as (site_sensor, ts, a, b, rh)."""
-    schema = "observation_hour_start timestamp_ntz, samosa_identifier string, site_id string, pm25_atm_ch_a_average double, pm25_atm_ch_b_average double, humidity_average double"
-    raw = nan_to_null(feather(files(spark, path, "*_samosa.feather"), schema))
-    return raw.select(site_sensor(F.col("site_id"), F.col("samosa_identifier")).alias("site_sensor"), F.col("observation_hour_start").alias("ts"), F.col("pm25_atm_ch_a_average").alias("a"), F.col("pm25_atm_ch_b_average").alias("b"), F.col("humidity_average").alias("rh"))
+def read_pa(spark: SparkSession, path: str, pattern: str = "*.feather") -> DataFrame:
+    """All files of the hourly feed (but ``history.feather``) as (site_sensor, ts, a, b, rh); the sensor's name is in
+    the column that ends in ``_identifier``."""
+    schema = "observation_hour_start timestamp_ntz, sensor string, site_id string, pm25_atm_ch_a_average double, pm25_atm_ch_b_average double, humidity_average double"
+    found = files(spark, path, pattern).where(~F.col("path").endswith("/history.feather"))
+    raw = nan_to_null(feather(found, schema, endings={"sensor": "_identifier"}))
+    return raw.select(site_sensor(F.col("site_id"), F.col("sensor")).alias("site_sensor"), F.col("observation_hour_start").alias("ts"), F.col("pm25_atm_ch_a_average").alias("a"), F.col("pm25_atm_ch_b_average").alias("b"), F.col("humidity_average").alias("rh"))
 
 
 def format_pa(readings: DataFrame, meta: DataFrame, spline=None) -> DataFrame:

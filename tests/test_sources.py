@@ -34,8 +34,8 @@ def _feather(path, **cols):
 
 def test_hourly_feed(spark, tmp_path):
     t = pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:30", "2024-01-01 01:00"])
-    _feather(tmp_path / "x_samosa.feather", observation_hour_start=t, samosa_identifier=["i"] * 3, site_id=["s"] * 3, pm25_atm_ch_a_average=[1.0, 3.0, np.nan], pm25_atm_ch_b_average=[1.0, 5.0, 2.0], humidity_average=[50.0] * 3)
-    history = spark.createDataFrame([("s", "i", datetime(2023, 1, 1), None, "Delhi", "Large City", 20.0, 75.0, "d", "st", "u", "c")], "site_id string, samosa_identifier string, effective_date timestamp_ntz, discontinue_date timestamp_ntz, settlement_name string, settlement_type string, site_latitude double, site_longitude double, site_district_name string, site_state_name string, all_land_uses string, cluster_name string")
+    _feather(tmp_path / "x_feed.feather", observation_hour_start=t, unit_identifier=["i"] * 3, site_id=["s"] * 3, pm25_atm_ch_a_average=[1.0, 3.0, np.nan], pm25_atm_ch_b_average=[1.0, 5.0, 2.0], humidity_average=[50.0] * 3)
+    history = spark.createDataFrame([("s", "i", datetime(2023, 1, 1), None, "Delhi", "Large City", 20.0, 75.0, "d", "st", "u", "c")], "site_id string, unit_identifier string, effective_date timestamp_ntz, discontinue_date timestamp_ntz, settlement_name string, settlement_type string, site_latitude double, site_longitude double, site_district_name string, site_state_name string, all_land_uses string, cluster_name string")
     meta = points.deployment_meta(history)
     rows = points.format_pa(points.read_pa(spark, str(tmp_path)), meta).orderBy("ts").collect()
     assert [(r["a"], r["b"]) for r in rows] == [(2.0, 3.0), (None, 2.0)] and rows[0]["settlement_code"] == 2
