@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from airweave.llm.common import mapped, stored
 
 #: Rows of one packed block, rows a worker gathers before it packs, and candidates it holds back before it passes them on.
-BLOCK, CHUNK, HELD = 4096, 32768, 4_000_000
+BLOCK, CHUNK, HELD = 512, 32768, 4_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -182,7 +182,7 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
 
     shape = "t int, b long, vecs binary, ids binary, ends binary"
     # few partitions, so that blocks are full: their pairs number as the product of both sides' partitions
-    parts = lambda rows: max(-(-rows // CHUNK), min(8, -(-rows // BLOCK)), 1)
+    parts = lambda rows: max(-(-rows // CHUNK), min(8, -(-rows // 4096)), 1)
     left = mapped(queries.select("v", "id").coalesce(parts(queries.count())), lambda b: pack(b, True), shape, CHUNK).select("t", "b", F.col("vecs").alias("q"), F.col("ids").alias("qids"))
     right = mapped(classes.select("v", "ids").coalesce(parts(n)), lambda b: pack(b, False), shape, CHUNK)
     pairs = left.join(right.hint("merge"), ["t", "b"])
