@@ -43,6 +43,8 @@ from airweave.llm.common import discard, mapped, split_join, stored, texts_of
 
 #: Distinct fingerprints of a list that are still paired.
 LIST = 32
+#: Members of a block of a longer list of sketches.
+BLOCK = 256
 #: Positional bytes of a sketch and of one entry of its index, and the factors that order shingles.
 SKETCH, RUN = 130, 5
 _ODD = np.random.default_rng(1).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,21 +194,19 @@ def sketch(text: bytes, width: int = 5) -> bytes:
 def similar_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(u, v), u > v: links between sketches (id, sk) that share ``similarity`` of their bytes.
 
-    Entries of the index are ``SKETCH // RUN`` runs of bytes. Lists of at most
-    ``LIST`` are paired. Of a longer list each member is held against the list's
-    first, and shorter lists are made of it by the next runs of bytes, whose
-    long ones are held against their first alike: rows in proportion to members,
-    and texts as similar share several lists.
+    Entries of the index are ``SKETCH // RUN`` runs of bytes. All pairs of a list
+    are compared: those of at most ``LIST`` as joined rows, longer ones dealt in
+    blocks by :func:`_blocks`. A pair of several long lists is kept by the first
+    of its runs only.
     """
     runs = SKETCH // RUN
-    run = lambda i: F.substring("sk", i % runs * RUN + 1, RUN)
-    entries = F.array(*[F.struct(F.lit(i).alias("kind"), run(i).alias("value")) for i in range(runs)])
-    index = classes.select("id", "sk", F.explode(entries).alias("x")).select("id", "sk", "x.kind", "x.value")
-    pairs, hot = _lists(index.select("id", "kind", "value"), ["kind", "value"])
-    again = [F.when(F.col("kind") == i, F.array(*[F.struct(F.lit(j).alias("next"), run(i + j).alias("more")) for j in (1, 2, 3)])) for i in range(runs)]
-    finer = split_join(hot, classes.select("id", "sk"), ["id"]).select("id", "kind", "value", F.explode(F.coalesce(*again)).alias("x")).select("id", "kind", "value", "x.*")
-    more, _ = _lists(finer, ["kind", "value", "next", "more"])
-    pairs = pairs.unionByName(more).distinct()
+    entries = F.array(*[F.struct(F.lit(i).alias("kind"), F.substring("sk", i * RUN + 1, RUN).alias("value")) for i in range(runs)])
+    index = classes.select("id", F.explode(entries).alias("x")).select("id", "x.kind", "x.value")
+    sizes = index.groupBy("kind", "value").agg(F.count("*").alias("n")).where("n > 1")
+    index = stored(split_join(index, sizes, ["kind", "value"]), "lists")
+    small = index.where(F.col("n") <= LIST)
+    other = small.withColumnRenamed("id", "v").drop("n")
+    pairs = small.withColumnRenamed("id", "u").join(other.hint("merge"), ["kind", "value"]).where("u > v").select("u", "v").distinct()
     both = split_join(pairs, classes.select(F.col("id").alias("u"), F.col("sk").alias("a")), ["u"])
     both = split_join(both, classes.select(F.col("id").alias("v"), F.col("sk").alias("b")), ["v"])
     least = int(np.ceil(similarity * SKETCH))
@@ -216,17 +216,37 @@ def similar_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
         keep = (x == y).sum(1) >= least
         yield batch.select(["u", "v"]).filter(pa.array(keep))
 
-    return mapped(both.select("u", "v", "a", "b"), tally, "u long, v long")
+    near = mapped(both.select("u", "v", "a", "b"), tally, "u long, v long")
+    return near.unionByName(_blocks(split_join(index.where(F.col("n") > LIST), classes.select("id", "sk"), ["id"]), least))
 
 
-def _lists(index: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pairs (u, v) of short lists and of long lists' members with their first, rows of long lists)."""
-    sizes = index.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("v")).where("n > 1")
-    index = stored(split_join(index, sizes, keys), "lists")
-    small, hot = index.where(F.col("n") <= LIST).drop("n", "v"), index.where(F.col("n") > LIST)
-    other = small.withColumnRenamed("id", "v")
-    near = small.withColumnRenamed("id", "u").join(other.hint("merge"), keys).where("u > v").select("u", "v")
-    return near.unionByName(hot.where("id > v").select(F.col("id").alias("u"), "v")), hot.drop("n", "v")
+def _blocks(hot: DataFrame, least: int) -> DataFrame:
+    """(u, v), u > v: pairs of long lists ``hot`` (id, sk, kind, value, n) that share ``least`` bytes, and no earlier run.
+
+    A list's members are salted into blocks of about ``BLOCK``; each pair of
+    blocks, and each block with itself, is one group.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = hot.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("id", "sk", "kind", "value", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        kind, i, j = (table[c][0].as_py() for c in ("kind", "i", "j"))
+        ids, own = table["id"].to_numpy(), table["own"].to_numpy()
+        sk = np.frombuffer(b"".join(table["sk"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        right = np.flatnonzero(own == j)
+        for k, at in enumerate(np.flatnonzero(own == i).tolist()):
+            rest = right[k + 1 :] if i == j else right
+            same = sk[rest] == sk[at]
+            near = same.sum(1) >= least
+            first = same[near].reshape(-1, SKETCH // RUN, RUN).all(2).argmax(1)
+            vs.append(ids[rest[near][first == kind]])
+            us.append(np.full(len(vs[-1]), ids[at]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        return pa.table({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+
+    return dealt.groupBy("kind", "value", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8) -> DataFrame:

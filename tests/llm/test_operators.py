@@ -199,6 +199,38 @@ def test_similar_texts_leave_one(spark, monkeypatch, most):
     assert len(simhash.one_of_each(df, similarity=None).collect()) > 60
 
 
+def edited_copies(n, rng):
+    """(texts, their sketches, pairs i < j of a Jaccard similarity of 0.8 or more) of one text's copies with 3 to 8 words changed."""
+    words = rng.choice(VOCAB, 300).tolist()
+    texts = []
+    for i in range(n):
+        w = list(words)
+        for k, at in enumerate(rng.choice(300, rng.integers(3, 9), replace=False)):
+            w[at] = f"n{i}x{k}"
+        texts.append(" ".join(w))
+    ids = {}
+    rows = [sorted({ids.setdefault(tuple(s), len(ids)) for s in zip(*(t.split()[k:] for k in range(5)))}) for t in texts]
+    has = np.zeros((n, max(map(len, map(set, rows))) + 400), np.float32)
+    for i, r in enumerate(rows):
+        has[i, [x for x in r if x < has.shape[1]]] = 1  # those of one copy alone are shared by none
+    both, sizes = has @ has.T, np.array([len(r) for r in rows])
+    return texts, np.argwhere(np.triu(both / (sizes[:, None] + sizes - both) >= 0.8, 1))
+
+
+def test_long_lists_are_compared_in_full(spark):
+    texts, true = edited_copies(2500, np.random.default_rng(14))
+    sketches = [simhash.sketch(t.encode()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(sketches)), "id long, sk binary")
+    got = simhash.similar_links(df).select("u", "v").collect()
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, simhash.SKETCH)
+    runs = x.reshape(len(x), -1, simhash.RUN)
+    want = set()
+    for i in range(len(x)):
+        hit = ((x[:i] == x[i]).sum(1) >= 104) & (runs[:i] == runs[i]).all(2).any(1)
+        want |= {(i, j) for j in np.flatnonzero(hit).tolist()}
+    assert len(true) > 50_000 and set(map(tuple, got)) == want
+
+
 def test_sketch_agrees_as_often_as_texts_do():
     rng = np.random.default_rng(13)
     w = rng.choice(VOCAB, 4000).tolist()
