@@ -25,7 +25,7 @@ table; each partition first reduces its links to a spanning forest.
 Defined cases: null text has no words and fingerprint zero, linked like any
 other; texts under three words have one shingle, the whole sequence; repeated
 rows share their component; an id of null is carried and never names a
-component unless all of it are null; extra columns are ignored by
+component unless all of it are null (:func:`one_of_each` tells rows apart by id and text); extra columns are ignored by
 :func:`components` and kept by :func:`one_of_each`.
 """
 
@@ -164,13 +164,23 @@ def _components(fps: DataFrame) -> DataFrame:
     return split_join(fps, named, ["fp"]).select("doc_id", "fp", "component_id")
 
 
+def _tops(classes: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """``classes`` (key, least) with the smallest key of each one's component, ``top``, by their stars (u, v)."""
+    return classes.join(near.select(F.col("u").alias(key), F.col("v").alias("top")).hint("merge"), key, "left").withColumn("top", F.coalesce("top", key))
+
+
 def _named(classes: DataFrame, near: DataFrame, key: str) -> DataFrame:
     """(key, component_id) of classes (key, least) and their stars (u, v)."""
-    named = classes.join(near.select(F.col("u").alias(key), F.col("v").alias("top")).hint("merge"), key, "left").withColumn("top", F.coalesce("top", key))
+    named = _tops(classes, near, key)
     tops = named.groupBy("top").agg(F.min("least").alias("component_id"))
     return split_join(named, tops, ["top"]).select(key, "component_id")
 
 
+def _firsts(classes: DataFrame, near: DataFrame, key: str) -> DataFrame:
+    """The fields of the struct ``least`` that is the smallest in each component of classes (key, least)."""
+    return _tops(classes, near, key).groupBy("top").agg(F.min("least").alias("least")).select("least.*")
+
+
 # Similar texts: the same index over bytes of a minwise sketch
 
 
@@ -254,21 +264,26 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     Groups are those of :func:`components`; then, of what these leave, texts
     whose five-word shingles have a Jaccard similarity of ``similarity`` or more,
-    judged on sketches (None: without these). Both come from one pass over the texts.
+    judged on sketches (None: without these).
+    A row is known by its id and its whole text's digest: a group keeps the
+    smallest id's, ids of null last, and rows equal in both count once.
     """
+    text = F.col(text_col).cast("string")
+    key = {"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("none")), "_digest": F.unhex(F.md5(F.coalesce(text, F.lit(""))))}
+    first = [F.col("doc_id").isNull().alias("none"), "doc_id", "_id", "_digest"]
 
     def run(batch: pa.RecordBatch):
         texts = texts_of(batch)
-        yield {"doc_id": batch.column(0), "fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), "sk": [sketch(t) if similarity else b"" for t in texts]}
+        fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        yield {"doc_id": batch.column(0), "_id": batch.column(2), "_digest": batch.column(3), "fp": fps, "sk": [sketch(t) if similarity else b"" for t in texts]}
 
-    seen = stored(mapped(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, "doc_id long, fp long, sk binary"), "fingerprints")
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
-    stay = _components(seen.select("doc_id", "fp")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named.alias("_id")).distinct()
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[c.alias(k) for k, c in key.items()])
+    seen = stored(mapped(rows, run, "doc_id long, _id string, _digest binary, fp long, sk binary"), "fingerprints")
+    classes = seen.groupBy("fp").agg(F.min(F.struct(*first, "sk")).alias("least"))
+    stay = _firsts(classes, stars(links(classes.select("fp"))), "fp")
     if similarity:
-        left = stored(seen.withColumn("_id", named).join(stay.hint("merge"), "_id", "left_semi").select("doc_id", "_id", F.xxhash64("sk").alias("id"), "sk"), "sketches")
-        classes = left.groupBy("id").agg(F.min("doc_id").alias("least"), F.first("sk").alias("sk"))
-        groups = _named(classes.select("id", "least"), stars(similar_links(classes.select("id", "sk"), similarity)), "id")
-        stay = split_join(left.select("doc_id", "_id", "id"), groups, ["id"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("_id").distinct()
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("none"))
-    kept = df.withColumn("_id", key).join(stay.hint("merge"), "_id", "left_semi")
-    return kept.dropDuplicates(["_id"]).drop("_id")  # partitioned by the id already
+        left = stored(stay.withColumn("id", F.xxhash64("sk")), "sketches")
+        classes = left.groupBy("id").agg(F.min(F.struct(*first)).alias("least"), F.first("sk").alias("sk"))
+        stay = _firsts(classes.select("id", "least"), stars(similar_links(classes.select("id", "sk"), similarity)), "id")
+    kept = df.withColumns(key).join(stay.select(*key).hint("merge"), [*key], "left_semi")
+    return kept.dropDuplicates([*key]).drop(*key)  # partitioned by these already

@@ -199,6 +199,17 @@ def test_similar_texts_leave_one(spark, monkeypatch, most):
     assert len(simhash.one_of_each(df, similarity=None).collect()) > 60
 
 
+def test_rows_of_null_or_repeated_ids_stay(spark):
+    rng = np.random.default_rng(15)
+    a, b, c, d, e = (prose(80, rng) for _ in range(5))
+    near = a.split()
+    near[40] = "changed"
+    rows = [(None, a), (None, b), (None, c), (5, " ".join(near)), (6, d), (6, e), (7, e), (None, b), (6, d), (8, None), (None, "")]
+    df = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)
+    want = [(None, b), (None, c), (5, " ".join(near)), (6, d), (6, e), (8, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each(df).collect()) == Counter(want)
+
+
 def edited_copies(n, rng):
     """(texts, their sketches, pairs i < j of a Jaccard similarity of 0.8 or more) of one text's copies with 3 to 8 words changed."""
     words = rng.choice(VOCAB, 300).tolist()
