@@ -17,7 +17,8 @@ most 2 bits exactly if they have such a value in common, no value has more than
 :func:`one_of_each` also drops texts that are merely similar. At a Jaccard
 similarity of 0.8 about 10 of 64 SimHash bits differ, so no byte need be shared
 and no minimum is guaranteed; there the same index and tally run over the bytes
-of a minwise sketch, each of which is shared with just that probability.
+of a minwise sketch, each of which is shared with just that probability, and
+what they find is judged on the texts' whole shingle sets.
 
 Components come from alternating large-star and small-star steps, each a written
 table; each partition first reduces its links to a spanning forest.
@@ -31,6 +32,7 @@ component unless all of it are null (:func:`one_of_each` tells rows apart by id
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -48,6 +50,10 @@ BLOCK = 256
 #: Positional bytes of a sketch and of one entry of its index, and the factors that order shingles.
 SKETCH, RUN = 130, 5
 _ODD = np.random.default_rng(1).integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: How much less than the similarity asked for two sketches may share: four standard deviations at 0.8.
+SLACK = 0.14
+#: Members and shingles of a block whose pairs are judged together.
+TILE, TILE_SHINGLES = 400, 2_000_000
 #: Links that a partition reduces at a time.
 FOREST = 500_000
 
@@ -184,25 +190,34 @@ def _firsts(classes: DataFrame, near: DataFrame, key: str) -> DataFrame:
 # Similar texts: the same index over bytes of a minwise sketch
 
 
-def sketch(text: bytes, width: int = 5) -> bytes:
-    """``SKETCH`` positional bytes; two texts agree in each with the probability of their shingles' Jaccard similarity."""
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """Hash of each shingle of ``width`` words, in order; one for the whole of a shorter text, none without words."""
     words = text.lower().split()
-    if not words:
-        return bytes(SKETCH)
     w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    n = max(1, len(w) - width + 1)
+    n = max(min(1, len(w)), len(w) - width + 1)
     h = np.zeros(n, np.uint64)
     for j in range(min(width, len(w))):
         h = (h ^ w[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
+    return h
+
+
+def sketch(text: bytes, width: int = 5) -> bytes:
+    """``SKETCH`` positional bytes; two texts agree in each with the probability of their shingles' Jaccard similarity."""
+    return _sketch(shingles(text, width))
+
+
+def _sketch(h: np.ndarray) -> bytes:
+    if not len(h):
+        return bytes(SKETCH)
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, n, 2048):
+    for lo in range(0, len(h), 2048):
         least = np.minimum(least, (h[None, lo : lo + 2048] * _ODD[:, None]).min(1))
     return ((least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def similar_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(u, v), u > v: links between sketches (id, sk) that share ``similarity`` of their bytes.
+def candidates(classes: DataFrame, share: float) -> DataFrame:
+    """(u, v), u > v: pairs of sketches (id, sk) that share ``share`` of their bytes.
 
     Entries of the index are ``SKETCH // RUN`` runs of bytes. All pairs of a list
     are compared: those of at most ``LIST`` as joined rows, longer ones dealt in
@@ -219,7 +234,7 @@ def similar_links(classes: DataFrame, similarity: float = 0.8) -> DataFrame:
     pairs = small.withColumnRenamed("id", "u").join(other.hint("merge"), ["kind", "value"]).where("u > v").select("u", "v").distinct()
     both = split_join(pairs, classes.select(F.col("id").alias("u"), F.col("sk").alias("a")), ["u"])
     both = split_join(both, classes.select(F.col("id").alias("v"), F.col("sk").alias("b")), ["v"])
-    least = int(np.ceil(similarity * SKETCH))
+    least = int(np.ceil(share * SKETCH))
 
     def tally(batch: pa.RecordBatch):
         x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (2, 3))
@@ -259,12 +274,73 @@ def _blocks(hot: DataFrame, least: int) -> DataFrame:
     return dealt.groupBy("kind", "value", "i", "j").applyInArrow(compare, "u long, v long")
 
 
+def similar_links(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float = 0.8) -> DataFrame:
+    """(u, v), u > v: links of classes (id, sk, size) that connect all candidates whose shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``texts`` gives (id, text) of a frame of ids, ``size`` is a text's number of shingles. Sketches
+    only pick the candidates, with ``SLACK`` less than ``similarity``. These are
+    judged on whole shingle sets, in tiles: the members of a group that candidates
+    connect are salted into blocks, so that a set travels once for each block of
+    its own group, and once in all if the group has one.
+    """
+    pairs = stored(candidates(classes.select("id", "sk"), similarity - SLACK).distinct(), "candidates")
+    tops = stars(pairs)
+    tops = stored(tops.unionByName(tops.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("id"), F.col("v").alias("top")), "groups")
+    member = tops.join(classes.select("id", "size").hint("merge"), "id")
+    blocks = F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_SHINGLES)).cast("int").alias("n")
+    member = split_join(member.drop("size"), member.groupBy("top").agg(blocks), ["top"])
+    member = stored(member.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")).cast("int")), "members")
+    sets = mapped(
+        texts(tops.select("id")),
+        lambda batch: [{"id": batch.column(0), "set": [np.unique(shingles(t)).tobytes() for t in texts_of(batch)]}],
+        "id long, set binary",
+    )
+    end = lambda c: member.select(F.col("id").alias(c), F.col("own").alias(f"{c}_own"))
+    tiled = split_join(split_join(pairs, member.select(F.col("id").alias("u"), "top", F.col("own").alias("u_own")), ["u"]), end("v"), ["v"])
+    tiled = stored(tiled.select("top", F.least("u_own", "v_own").alias("i"), F.greatest("u_own", "v_own").alias("j"), "u", "v"), "tiles")
+    needed = tiled.select("top", "i", "j", F.explode(F.array("u", "v")).alias("id")).distinct()
+    needed = split_join(needed, sets, ["id"]).select(F.col("top").alias("in_top"), F.col("i").alias("in_i"), F.col("j").alias("in_j"), "id", "set")
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["id"].to_numpy()
+        order = np.argsort(ids)
+        sets = [np.frombuffer(x, np.uint64) for x in left["set"].to_pylist()]
+        at = lambda c: order[np.searchsorted(ids, right[c].to_numpy(), sorter=order)]
+        u, v = at("u"), at("v")
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        both = _shared(sets)[u, v]
+        ok = both >= similarity * (sizes[u] + sizes[v] - both) - 1e-9
+        return right.select(["u", "v"]).filter(pa.array(ok))
+
+    return needed.groupBy("in_top", "in_i", "in_j").cogroup(tiled.groupBy("top", "i", "j")).applyInArrow(judge, "u long, v long")
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of ``sets`` have in common."""
+    n = len(sets)
+    value, row = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(value, kind="stable")
+    value, row = value[order], row[order]
+    new = np.r_[True, value[1:] != value[:-1]][: len(value)]
+    column = np.cumsum(new) - 1
+    often = np.bincount(column)[column] > 1 if len(column) else np.empty(0, bool)
+    row, column = row[often], np.cumsum(new[often]) - 1
+    out = np.zeros((n, n), np.float32)
+    width = 1 << 13
+    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        has = np.zeros((n, width), np.float32)
+        has[row[lo:hi], column[lo:hi] - k * width] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = 0.8) -> DataFrame:
     """The rows of ``df`` that stay when each group of near copies keeps one document.
 
     Groups are those of :func:`components`; then, of what these leave, texts
     whose five-word shingles have a Jaccard similarity of ``similarity`` or more,
-    judged on sketches (None: without these).
+    found by sketches and judged on whole texts (None: without these).
     A row is known by its id and its whole text's digest: a group keeps the
     smallest id's, ids of null last, and rows equal in both count once.
     """
@@ -274,16 +350,26 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     def run(batch: pa.RecordBatch):
         texts = texts_of(batch)
-        fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        yield {"doc_id": batch.column(0), "_id": batch.column(2), "_digest": batch.column(3), "fp": fps, "sk": [sketch(t) if similarity else b"" for t in texts]}
+        out = {"doc_id": batch.column(0), "_id": batch.column(2), "_digest": batch.column(3)}
+        out["fp"] = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        hashes = [shingles(t) if similarity else np.empty(0, np.uint64) for t in texts]
+        sets = [np.unique(h) for h in hashes]
+        out["id"] = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+        yield out | {"size": list(map(len, sets)), "sk": list(map(_sketch, hashes))}
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[c.alias(k) for k, c in key.items()])
-    seen = stored(mapped(rows, run, "doc_id long, _id string, _digest binary, fp long, sk binary"), "fingerprints")
-    classes = seen.groupBy("fp").agg(F.min(F.struct(*first, "sk")).alias("least"))
+    seen = stored(mapped(rows, run, "doc_id long, _id string, _digest binary, fp long, id long, size long, sk binary"), "fingerprints")
+    classes = seen.groupBy("fp").agg(F.min(F.struct(*first, "id", "size", "sk")).alias("least"))
     stay = _firsts(classes, stars(links(classes.select("fp"))), "fp")
     if similarity:
-        left = stored(stay.withColumn("id", F.xxhash64("sk")), "sketches")
-        classes = left.groupBy("id").agg(F.min(F.struct(*first)).alias("least"), F.first("sk").alias("sk"))
-        stay = _firsts(classes.select("id", "least"), stars(similar_links(classes.select("id", "sk"), similarity)), "id")
+        # texts of one shingle set are one class
+        classes = stored(stay.groupBy("id").agg(F.min(F.struct(*first)).alias("least"), F.first("size").alias("size"), F.first("sk").alias("sk")), "sketches")
+
+        def texts(ids: DataFrame) -> DataFrame:
+            wanted = stored(classes.select("id", "least._id", "least._digest").join(ids, "id"), "wanted")
+            return rows.select("text", *key).join(wanted, [*key]).select("id", "text").dropDuplicates(["id"])
+
+        near = similar_links(classes.select("id", "sk", "size"), texts, similarity)
+        stay = _firsts(classes.select("id", "least"), stars(near), "id")
     kept = df.withColumns(key).join(stay.select(*key).hint("merge"), [*key], "left_semi")
     return kept.dropDuplicates([*key]).drop(*key)  # partitioned by these already

@@ -232,7 +232,7 @@ def test_long_lists_are_compared_in_full(spark):
     texts, true = edited_copies(2500, np.random.default_rng(14))
     sketches = [simhash.sketch(t.encode()) for t in texts]
     df = spark.createDataFrame(list(enumerate(sketches)), "id long, sk binary")
-    got = simhash.similar_links(df).select("u", "v").collect()
+    got = simhash.candidates(df, 0.8).select("u", "v").collect()
     x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, simhash.SKETCH)
     runs = x.reshape(len(x), -1, simhash.RUN)
     want = set()
@@ -242,6 +242,39 @@ def test_long_lists_are_compared_in_full(spark):
     assert len(true) > 50_000 and set(map(tuple, got)) == want
 
 
+def test_similar_texts_are_judged_exactly(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 100)
+    texts, true = edited_copies(600, np.random.default_rng(16))
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    rng, far = np.random.default_rng(17), []
+    for g in range(60):  # pairs just over and just under 0.8
+        words = rng.choice(VOCAB, 300).tolist()
+        for k in range(2):
+            w = list(words)
+            w[20 : 20 + 29 * k] = [f"n{g}x{i}" for i in range((28 + g % 2) * k)] + ["z"] * (k * (1 - g % 2))
+            rows.append((1000 + 2 * g + k, " ".join(w), None, None, None))
+        far.append(jaccard(rows[-2][1], rows[-1][1]))
+    assert min(far) < 0.81 and max(far) > 0.79
+    up = list(range(600))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in true.tolist():
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    want = {root(i) for i in range(600)} | {1000 + 2 * g for g in range(60)} | {1001 + 2 * g for g in range(60) if far[g] < 0.8}
+    fps = {r[0]: simhash.fingerprint(r[1].encode()) for r in rows}
+    df = spark.createDataFrame([r for r in rows], SCHEMA)
+    classes = [(r[0], simhash.sketch(r[1].encode()), len(r[1].split())) for r in rows]
+    frame = spark.createDataFrame(classes, "id long, sk binary, size long")
+    texts_of = lambda ids: df.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
+    near = {r["u"] for r in simhash.stars(simhash.similar_links(frame, texts_of)).collect()}
+    assert {r[0] for r in rows} - near == want
+
+
 def test_sketch_agrees_as_often_as_texts_do():
     rng = np.random.default_rng(13)
     w = rng.choice(VOCAB, 4000).tolist()
