@@ -592,7 +592,7 @@ def gappy_pod(spark, sf):
 
 @query()
 def memd_energies(spark, sf):
-    imfs = memd.decompose(_network(spark, sf), n_directions=8, n_iterations=4, most=3)
+    imfs = memd.decompose(_network(spark, sf))
     return memd.imf_energies(imfs).select("imf", F.round("energy", 3).alias("energy"), F.round("percent", 3).alias("percent"))
 
 
@@ -640,7 +640,7 @@ def daily_baseline(spark, sf):
 
 @query()
 def baseline_sensitivity(spark, sf):
-    out = baseline.sensitivity(d.readings(spark, sf, True), "b", [(0.05, 4), (0.1, 6), (0.2, 8)])
+    out = baseline.sensitivity(d.readings(spark, sf, True), "b")
     return out.select("sensor", "quantile", "dof", F.round("baseline", 4).alias("baseline"), F.round("peak", 4).alias("peak"), "n")
 
 
@@ -652,16 +652,14 @@ def _vector(spark, sf):
 @query()
 def bootstrap_bounds(spark, sf):
     obs = _vector(spark, sf)
-    grid = [{"noise_level": 0.0}, {"noise_level": 0.3}, {"noise_level": 0.6}]
-    return bootstrap.noise_bounds(spark, obs, 200, len(obs) // 2, grid)
+    return bootstrap.noise_bounds(spark, obs, n=len(obs) // 2)
 
 
 @query()
 def bootstrap_aggregation(spark, sf):
-    return bootstrap.bounds(bootstrap.run(spark, _vector(spark, sf), bootstrap.aggregate, bootstrap.aggregation_grid(longest=6), 100))
+    return bootstrap.bounds(bootstrap.run(spark, _vector(spark, sf), bootstrap.aggregate, bootstrap.aggregation_grid()))
 
 
 @query()
 def bootstrap_tradeoff(spark, sf):
-    grid = [{"thresh": t / 10, "noise": n / 10} for t in range(1, 4) for n in range(1, 4)]
-    return bootstrap.bounds(bootstrap.run(spark, _vector(spark, sf), bootstrap.tradeoff, grid, 100))
+    return bootstrap.bounds(bootstrap.run(spark, _vector(spark, sf), bootstrap.tradeoff, bootstrap.tradeoff_grid()))

@@ -6,7 +6,9 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from airweave.operators import baseline, bootstrap, memd
 from airweave.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +42,20 @@ def test_same_rows(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
+
+
+def test_registered_with_the_operators_own_grids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(bootstrap, "run", lambda spark, obs, sampler, grid, replicates=bootstrap.REPLICATES, **kw: seen.append((len(grid), replicates)))
+    monkeypatch.setattr(bootstrap, "bounds", lambda df: df)
+    monkeypatch.setattr(bootstrap, "with_grid", lambda df, grid: df)
+    for name in ("bootstrap_bounds", "bootstrap_aggregation", "bootstrap_tradeoff"):
+        QUERIES[name](spark, SF)
+    assert seen == [(100, 1000), (336, 1000), (9801, 1000)]
+    given = []
+    monkeypatch.setattr(memd, "decompose", lambda df, **kw: given.append(kw) or df.withColumn("imf", F.lit(0)))
+    QUERIES["memd_energies"](spark, SF)
+    fit = baseline.sensitivity
+    monkeypatch.setattr(baseline, "sensitivity", lambda df, value, grid=None: given.append(grid) or fit(df, value, grid))
+    QUERIES["baseline_sensitivity"](spark, SF)
+    assert given == [{}, None] and len(baseline.sensitivity_grid()) == 161
