@@ -2,26 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airweave.session import shared_path
 
 #: Bytes of text that one vectorised step handles at a time; a longer text goes alone.
 STEP_BYTES = 1 << 20
-#: Rows of an Arrow batch where the session leaves Spark's own number: rows here hold whole texts.
-BATCH = 1000
+#: Rows and bytes of an Arrow batch that the corpus queries ask for: rows here hold whole texts.
+BATCH, BATCH_BYTES = 1000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of this session small unless it has set their size itself."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") in (None, "10000"):
-        spark.conf.set(name, str(BATCH))
+    """Keep the Arrow batches of a session small, unless it has set their size itself.
+
+    For the queries and the pipeline, which own their session; operators leave it
+    alone and rely on Spark's own bound of bytes for a batch.
+    """
+    for name, own, value in (("maxRecordsPerBatch", ("10000",), BATCH), ("maxBytesPerBatch", ("67108864b", "67108864", "64MB"), BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, own[0]) in own:
+            spark.conf.set(name, str(value))
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``taken`` is called so, whatever its case."""
+    taken = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def digest(text: Column) -> Column:
+    """SHA-256 of a text, by which equal whole texts meet."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
@@ -31,7 +52,6 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     recomputation of what led to it.
     """
     spark = df.sparkSession
-    small_batches(spark)
     path = shared_path(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -59,8 +79,9 @@ def split_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     where ``small`` is partitioned by the keys already: only then can adaptive
     execution split a hot key's rows over several tasks.
     """
-    mark = F.xxhash64(*keys)
-    return big.withColumn("_mark", mark).join(small.withColumn("_mark", mark).hint("merge"), [*keys, "_mark"], how).drop("_mark")
+    (mark,) = unused([*big.columns, *small.columns], "_mark")
+    value = F.xxhash64(*keys)
+    return big.withColumn(mark, value).join(small.withColumn(mark, value).hint("merge"), [*keys, mark], how).drop(mark)
 
 
 def steps(batch: pa.RecordBatch, text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -101,7 +122,6 @@ def mapped(df: DataFrame, fn, schema: str, rows: int = 1) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    small_batches(df.sparkSession)
     kind = StructType.fromDDL(schema)
     out = to_arrow_schema(kind)
 

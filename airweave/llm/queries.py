@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airweave.llm import ann, licenses, media, packing, pieces, quality, simhash, substrings, templates, toxicity
-from airweave.llm.common import load
+from airweave.llm import ann, common, licenses, media, packing, pieces, quality, simhash, substrings, templates, toxicity
+
+
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    common.small_batches(spark)
+    return common.load(spark, sf_dir, table)
 
 
 def tokenizer_path(name: str) -> str:

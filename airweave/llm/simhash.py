@@ -4,15 +4,17 @@ A fingerprint has a bit set where over half of a text's shingle hashes have it.
 Two fingerprints that differ in at most ``bits`` = 2 bits share at least 6 of
 their 8 positional bytes. The inverted index lists fingerprints under
 (positions, byte values). Lists of single bytes would hold 1/256 of everything
-and their pairs grow as the square, so an entry has four positions: the six
-unions of two of the four byte pairs, of which any two fingerprints with 6
-shared bytes share at least one. For each pair in a list the shared positional
-bytes are tallied, pairs with at least 6 are kept, then verified bit by bit.
+and their pairs grow as the square, so an entry has four positions, one of the 14
+quadruples of ``QUADS``: any three positions lie in exactly one of them, so of two
+fingerprints that share 6 bytes exactly 3 entries agree, of more shared bytes 7 or
+all, of fewer at most one. The entries in which a pair meets are tallied, pairs
+that reach the guaranteed 3 are kept and verified bit by bit.
 
 A list with more than ``LIST`` fingerprints is not paired: its fingerprints are
 listed under every value one bit away instead. Two fingerprints differ in at
 most 2 bits exactly if they have such a value in common, no value has more than
-65 of them, and all of these link. So hot lists cost 65 rows a fingerprint.
+65 of them, and all of these link. So hot lists cost 65 rows a fingerprint, and
+a pair that has a hot list in common needs no tally.
 
 :func:`one_of_each` also drops texts that are merely similar. At a Jaccard
 similarity of 0.8 about 10 of 64 SimHash bits differ, so no byte need be shared
@@ -20,8 +22,10 @@ and no minimum is guaranteed; there the same index and tally run over the bytes
 of a minwise sketch, each of which is shared with just that probability, and
 what they find is judged on the texts' whole shingle sets.
 
-Components come from alternating large-star and small-star steps, each a written
-table; each partition first reduces its links to a spanning forest.
+Components come in rounds, each a written table: links are held in as few
+partitions as have ``FOREST`` links each, and each partition reduces its own to a
+spanning forest. Once one partition holds all that is left, that forest is the
+answer; until then large-star and small-star steps bring links together.
 
 Defined cases: null text has no words and fingerprint zero, linked like any
 other; texts under three words have one shingle, the whole sequence; repeated
@@ -33,18 +37,20 @@ component unless all of it are null (:func:`one_of_each` tells rows apart by id
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airweave.llm.common import discard, mapped, split_join, stored, texts_of
+from airweave.llm.common import digest, discard, mapped, split_join, stored, texts_of
 
 #: Distinct fingerprints of a list that are still paired.
 LIST = 32
+#: Quadruples of the 8 byte positions, of which any three positions lie in exactly one, and how many agree in 6 shared positions.
+QUADS, AGREE = [q for q in combinations(range(8), 4) if not q[0] ^ q[1] ^ q[2] ^ q[3]], 3
 #: Members of a block of a longer list of sketches.
 BLOCK = 256
 #: Positional bytes of a sketch and of one entry of its index, and the factors that order shingles.
@@ -71,7 +77,7 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     n = len(words) - width + 1
     h = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[width - 1 :].tolist())), repeat(42)), np.uint64, n)
     votes = np.zeros(64, np.int64)
-    for lo in range(0, n, 4080):  # bytes of a sum of 255 rows at most don't overflow
+    for lo in range(0, n, 4080):  # few enough for sums of 16 bits
         part = np.unpackbits(h[lo : lo + 4080].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += part.sum(0, dtype=np.uint16)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
@@ -89,16 +95,15 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def links(fps: DataFrame) -> DataFrame:
     """(u, v), u > v: links between distinct fingerprints ``fps`` (fp) that connect all that differ in at most 2 bits."""
-    pairs_of_bytes = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
-    keys = [F.struct(F.lit(k).alias("kind"), (pairs_of_bytes[a] * 65536 + pairs_of_bytes[b]).alias("value")) for k, (a, b) in enumerate((a, b) for a in range(4) for b in range(a + 1, 4))]
+    byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(0xFF)
+    keys = [F.struct(F.lit(k).alias("kind"), sum(byte(i) * (1 << 8 * j) for j, i in enumerate(q)).alias("value")) for k, q in enumerate(QUADS)]
     index = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.kind", "x.value")
     sizes = index.groupBy("kind", "value").agg(F.count("*").alias("n")).where("n > 1")
     index = stored(split_join(index, sizes, ["kind", "value"]), "lists")
     small = index.where(F.col("n") <= LIST)
     both = small.alias("a").join(small.alias("b").hint("merge"), (F.col("a.kind") == F.col("b.kind")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") > F.col("b.fp")))
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    shared = sum((F.shiftrightunsigned(differ, 8 * i).bitwiseAND(0xFF) == 0).cast("int") for i in range(8))
-    near = both.where((shared >= 6) & (F.bit_count(differ) <= 2)).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    tally = both.groupBy(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= AGREE)
+    near = tally.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2).select("u", "v")
     ball = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long") for i in range(64)])
     hot = index.where(F.col("n") > LIST).select("fp").distinct()
     spread = hot.select("fp", F.explode(F.transform(ball, lambda x: x.bitwiseXOR(F.col("fp")))).alias("mid"))
@@ -107,43 +112,58 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(star)
 
 
-def _forest(df: DataFrame) -> DataFrame:
-    """Fewer links with the same components, partition by partition."""
-
-    def run(batches):
-        up: dict[int, int] = {}
+def _spanning(links: np.ndarray) -> np.ndarray:
+    """(vertex, smallest of its component) for each vertex of ``links`` (two columns) but the smallest ones."""
+    names, ends = np.unique(links, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    top = np.arange(len(names))
+    while True:
+        x, y = top[a], top[b]
+        least, then = np.minimum(x, y), top.copy()
+        np.minimum.at(then, x, least)
+        np.minimum.at(then, y, least)
+        while (then[then] != then).any():
+            then = then[then]
+        if (then == top).all():
+            break
+        top = then
+    below = np.flatnonzero(top != np.arange(len(top)))
+    return np.stack((names[below], names[top[below]]), axis=1)
 
-        def root(x):
-            while (p := up.setdefault(x, x)) != x:
-                up[x] = x = up[p] if p in up else p
-            return x
 
-        def out():
-            us = list(up)
-            vs = [root(u) for u in us]
-            keep = [i for i in range(len(us)) if us[i] != vs[i]]
-            return pa.RecordBatch.from_pydict({"u": pa.array([us[i] for i in keep], pa.int64()), "v": pa.array([vs[i] for i in keep], pa.int64())})
+def _forest(df: DataFrame) -> DataFrame:
+    """Fewer links with the same components, partition by partition; stars, if a partition has no more than ``FOREST``."""
 
+    def run(batches):
+        held, n = [], 0
+        out = lambda x: pa.RecordBatch.from_pydict({"u": x[:, 0], "v": x[:, 1]})
         for batch in batches:
-            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = root(u), root(v)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-            if len(up) > FOREST:
-                yield out()
-                up.clear()
-        if up:
-            yield out()
+            held.append(np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1))
+            n += batch.num_rows
+            if n > 2 * FOREST:
+                held = [_spanning(np.concatenate(held))]
+                n = len(held[0])
+                if n > FOREST:
+                    yield out(held.pop())
+                    n = 0
+        if n:
+            yield out(_spanning(np.concatenate(held)))
 
     return df.mapInArrow(run, "u long, v long")
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """(u, v): each vertex u that has a smaller one in its component, with the component's smallest, v."""
-    now = stored(_forest(edges.select("u", "v")).distinct(), "links")
+    now = stored(_forest(edges.select("u", "v")), "links")
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = max(1, -(-now.count() // FOREST))
+        forest = _forest(now.coalesce(parts))
+        if parts == 1:
+            then = stored(forest, "links")
+            discard(now)
+            return then
+        both = forest.unionByName(forest.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.distinct()
@@ -345,31 +365,33 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     smallest id's, ids of null last, and rows equal in both count once.
     """
     text = F.col(text_col).cast("string")
-    key = {"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("none")), "_digest": F.unhex(F.md5(F.coalesce(text, F.lit(""))))}
-    first = [F.col("doc_id").isNull().alias("none"), "doc_id", "_id", "_digest"]
+    named = [F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("key"), digest(F.coalesce(text, F.lit(""))).alias("digest")]
+    first = [F.col("doc_id").isNull().alias("none"), "doc_id", "key", "digest"]
 
     def run(batch: pa.RecordBatch):
         texts = texts_of(batch)
-        out = {"doc_id": batch.column(0), "_id": batch.column(2), "_digest": batch.column(3)}
+        out = {"doc_id": batch.column(0), "key": batch.column(2), "digest": batch.column(3)}
         out["fp"] = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
         hashes = [shingles(t) if similarity else np.empty(0, np.uint64) for t in texts]
         sets = [np.unique(h) for h in hashes]
         out["id"] = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
         yield out | {"size": list(map(len, sets)), "sk": list(map(_sketch, hashes))}
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[c.alias(k) for k, c in key.items()])
-    seen = stored(mapped(rows, run, "doc_id long, _id string, _digest binary, fp long, id long, size long, sk binary"), "fingerprints")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *named)
+    seen = stored(mapped(rows, run, "doc_id long, key string, digest binary, fp long, id long, size long, sk binary"), "fingerprints")
     classes = seen.groupBy("fp").agg(F.min(F.struct(*first, "id", "size", "sk")).alias("least"))
     stay = _firsts(classes, stars(links(classes.select("fp"))), "fp")
     if similarity:
-        # texts of one shingle set are one class
-        classes = stored(stay.groupBy("id").agg(F.min(F.struct(*first)).alias("least"), F.first("size").alias("size"), F.first("sk").alias("sk")), "sketches")
+        # texts of one shingle set are one class; of sets whose 64-bit ids collide one is compared and the others stay
+        classes = stay.repartition("id").groupBy("id", "size", "sk").agg(F.min(F.struct(*first)).alias("least"))
+        classes = stored(classes.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("size", "sk"))), "sketches")
+        alone, classes = classes.where("nth > 1").select("least.*"), classes.where("nth = 1")
 
         def texts(ids: DataFrame) -> DataFrame:
-            wanted = stored(classes.select("id", "least._id", "least._digest").join(ids, "id"), "wanted")
-            return rows.select("text", *key).join(wanted, [*key]).select("id", "text").dropDuplicates(["id"])
+            wanted = stored(classes.select("id", "least.key", "least.digest").join(ids, "id"), "wanted")
+            return rows.select("text", "key", "digest").join(wanted, ["key", "digest"]).select("id", "text").dropDuplicates(["id"])
 
         near = similar_links(classes.select("id", "sk", "size"), texts, similarity)
-        stay = _firsts(classes.select("id", "least"), stars(near), "id")
-    kept = df.withColumns(key).join(stay.select(*key).hint("merge"), [*key], "left_semi")
-    return kept.dropDuplicates([*key]).drop(*key)  # partitioned by these already
+        stay = _firsts(classes.select("id", "least"), stars(near), "id").unionByName(alone)
+    kept = df.select(F.struct("*").alias("row"), *named).join(stay.select("key", "digest").hint("merge"), ["key", "digest"], "left_semi")
+    return kept.dropDuplicates(["key", "digest"]).select("row.*")  # partitioned by these already
