@@ -87,7 +87,7 @@ class CrossPolytope:
 
 
 def _matrix(col) -> np.ndarray:
-    return np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float32).reshape(len(col), -1)
+    return np.asarray(col.flatten().to_numpy(zero_copy_only=False)).reshape(len(col), -1)
 
 
 def _best(qid, vid, score, k):
@@ -105,13 +105,26 @@ def _best(qid, vid, score, k):
 
 
 def _block_top(q, qids, x, ids, ends, k):
-    """Exact candidates of the queries ``q`` among the classes ``x``: their ``k`` nearest classes and a few
-    more for ties, with all ids kept of each."""
-    m = min(len(x), k + 5)
-    near = np.argpartition(-(q.astype(np.float64) @ x.astype(np.float64).T), m - 1, axis=1)[:, :m] if m < len(x) else np.tile(np.arange(m), (len(q), 1))
-    rows, cols = np.repeat(np.arange(len(q)), m), near.ravel()
-    score = (q[rows].astype(np.float64) * x[cols].astype(np.float64)).sum(1)  # row by row: equal vectors, equal scores
+    """Exact candidates of the queries ``q`` among the classes ``x``: the ``k`` nearest ids of each query, ties to the smaller.
+
+    Classes as near as the k-th are all compared. Of these the ``k + 1`` nearest, by
+    score and smallest id, hold the answer: an id among the first ``k`` lies in a
+    class whose smallest id is no larger, and one class may be the query's own.
+    """
+    q, x = q.astype(np.float64), x.astype(np.float64)
+    rough = q @ x.T
+    m = min(len(x), k + 1)
+    least = np.partition(rough, len(x) - m, axis=1)[:, len(x) - m]
+    # rounding of a sum of products, many times over
+    slack = 1e-12 * np.sqrt((q * q).sum(1) * (x * x).sum(1).max(initial=0.0))
+    rows, cols = np.nonzero(rough >= (least - slack)[:, None])
+    score = (q[rows] * x[cols]).sum(1)  # row by row: equal vectors, equal scores
     starts = np.r_[0, ends[:-1]]
+    order = np.lexsort((ids[starts[cols]], -score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    first = np.r_[True, rows[1:] != rows[:-1]]
+    keep = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0)) < m
+    rows, cols, score = rows[keep], cols[keep], score[keep]
     n = ends[cols] - starts[cols]
     at = np.repeat(starts[cols] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     qid, vid, score = np.repeat(qids[rows], n), ids[at], np.repeat(score, n)
@@ -121,17 +134,21 @@ def _block_top(q, qids, x, ids, ends, k):
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of the rows that take part, whatever else the table holds."""
-    v = F.col(vec_col).cast("array<float>")
+    given = df.schema[vec_col].dataType.elementType.simpleString()
+    v = F.col(vec_col).cast("array<float>" if given == "float" else "array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 4, recall: float = 0.96, sample: int = 128, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 4, hashes: int = 1, recall: float = 0.96, sample: int = 128, seed: int = 7) -> DataFrame:
     """The ``k`` largest inner products of each query row among all other rows.
 
     ``query_ids``: a condition on the id column that names the queries. ``sample``
     bounds the queries whose exact answers tell how many axes to probe for
-    ``recall``; every row is indexed. Returns query_id, rank, vec_id, score.
+    ``recall``; every row is indexed. ``hashes`` rotations name a bucket together:
+    a second one makes as many buckets as the square. Scores are sums of products
+    in double precision, of float or double vectors as they are given. Returns
+    query_id, rank, vec_id, score.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -145,12 +162,13 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
     classes = stored(rows.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     n, low, high = classes.agg(F.count("*"), F.min(norm), F.max(norm)).collect()[0]
-    index = CrossPolytope(dim, tables, 1 if n <= 4_000_000 else 2, seed, None if low >= high * 0.999 else high)
+    index = CrossPolytope(dim, tables, hashes, seed, None if low >= high * 0.999 else high)
+    kind = np.float32 if rows.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
     queries = rows.where(query_ids(F.col("id"))).distinct()
     asked = queries.orderBy(F.xxhash64("id"), "id", "v").limit(sample).collect()
     if not asked:
         return spark.createDataFrame([], schema)
-    probes = _fit_probes(classes, index, np.array([r["v"] for r in asked], np.float32), np.array([r["id"] for r in asked]), k, recall)
+    probes = _fit_probes(classes, index, np.array([r["v"] for r in asked], kind), np.array([r["id"] for r in asked]), k, recall)
 
     def pack(batch, query: bool):
         v = _matrix(batch.column(0))
@@ -178,7 +196,7 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
                         some = part[at : at + BLOCK]
                         r = row[some]
                         held = np.concatenate([flat[e - c : e] for e, c in zip(end[r], count[r], strict=True)])
-                        yield {"t": [t], "b": [int(bucket[some[0]])], "vecs": [x[r].tobytes()], "ids": [held.astype(np.int64).tobytes()], "ends": [np.cumsum(count[r]).tobytes()]}
+                        yield {"t": [t], "b": [int(bucket[some[0]])], "vecs": [x[r].astype(kind).tobytes()], "ids": [held.astype(np.int64).tobytes()], "ends": [np.cumsum(count[r]).tobytes()]}
 
     shape = "t int, b long, vecs binary, ids binary, ends binary"
     # few partitions, so that blocks are full: their pairs number as the product of both sides' partitions
@@ -199,7 +217,7 @@ def nearest(df: DataFrame, query_ids, k: int = 20, id_col: str = "vec_id", vec_c
 
         for batch in batches:
             for q, qids, x, ids, ends in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                kept.append(_block_top(np.frombuffer(q, np.float32).reshape(-1, dim), np.frombuffer(qids, np.int64), np.frombuffer(x, np.float32).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), k))
+                kept.append(_block_top(np.frombuffer(q, kind).reshape(-1, dim), np.frombuffer(qids, np.int64), np.frombuffer(x, kind).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), k))
                 if sum(len(a[0]) for a in kept[1:]) > max(1_000_000, 2 * len(kept[0][0])):
                     kept = [_best(*map(np.concatenate, zip(*kept, strict=True)), k)]
                     if len(kept[0][0]) > HELD:
