@@ -7,14 +7,15 @@ still have room, by moving counts between packing patterns. A piece then finds
 its place by its rank among the pieces of its length: partition counts summed
 along partitions, plus its place in its partition.
 
-Defined cases: null text counts as empty and has the closing id alone; repeated
-rows are packed each; null ids are carried; an empty table has no pieces; extra
+Defined cases: null text counts as empty and has the closing id alone; texts of
+millions of blanks or without any are cut like all others; repeated rows are packed each; null ids are carried; an empty table has no pieces; extra
 columns are ignored by :func:`pack`.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -29,12 +30,22 @@ from pyspark.sql.types import StructType
 
 from airweave.llm.common import stored
 
-#: Fixed value: how byte-level vocabularies of this kind split texts before merging.
+#: How byte-level vocabularies of this kind split texts before merging, and what counts as white space there.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+SPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Length from which a run of white space is cut out: the split's pattern keeps a state for each character of it.
+RUN = 100_000
+_LONG_RUN = re.compile(f"[{SPACE}]{{{RUN},}}")
+
 
 class ByteTokenizer:
-    """Ids of a byte-level tokenizer file, merged by rank; texts that name a special token take the file's own encoder."""
+    """Ids of a byte-level tokenizer file, merged by rank; texts that name a special token take the file's own encoder.
+
+    Raises for files that split or normalise texts otherwise. A very long run of
+    white space is cut by the split's own rule: all but its last character, or the
+    whole run at a text's end, is one unit of merging.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -42,6 +53,9 @@ class ByteTokenizer:
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        split = said.get("pre_tokenizer") or {}
+        if said.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path}: only files that split by the byte-level pattern alone are read here")
         self.special = [t["content"] for t in said.get("added_tokens", [])]
         shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
@@ -52,7 +66,14 @@ class ByteTokenizer:
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.array(self.fast.encode_ordinary(text), "<u4")
+        if len(text) < RUN:
+            return np.array(self.fast.encode_ordinary(text), "<u4")
+        out, at = [], 0
+        for run in _LONG_RUN.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += self.fast.encode_ordinary(text[at : run.start()]) + self.fast._encode_single_piece(text[run.start() : stop])
+            at = stop
+        return np.array(out + self.fast.encode_ordinary(text[at:]), "<u4")
 
 
 @lru_cache(2)
