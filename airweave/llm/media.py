@@ -5,7 +5,10 @@ references with their captions. Media lie in a store keyed by the SHA-256 of
 their payload, in a lossless form (8-bit greyscale PNG, 64 samples a row). A
 digest join resolves the references; position and caption stay with each.
 
-Defined cases: null html has an empty sequence; a reference that the store lacks
+A figure's caption, before or after its references, is the caption of each of them;
+elsewhere the alternative text is.
+
+Defined cases: null html has an empty sequence; a figure left open ends with the page or the next figure; a reference that the store lacks
 stays, with nulls for its payload; a digest stored twice counts once; null text
 is an empty payload, which is padded to one row of zeros; repeated rows are
 carried each; extra columns are ignored.
@@ -91,6 +94,8 @@ class _Parser(HTMLParser):
         self.mute = 0
         self.captioned: list[int] = []
         self.caption: list[str] | None = None
+        self.said_of: str | None = None
+        self.inside = False
 
     def close_text(self):
         text = " ".join("".join(self.said).split())
@@ -105,12 +110,14 @@ class _Parser(HTMLParser):
             return
         self.close_text()
         if tag == "figure":
-            self.captioned = []
+            self.close_figure()
+            self.inside = True
         if tag == "figcaption":
             self.caption = []
         at = dict(attrs)
         if tag in ("img", "audio", "video", "source") and at.get("src"):
-            self.captioned.append(len(self.out))
+            if self.inside:
+                self.captioned.append(len(self.out))
             self.out.append({"position": len(self.out), "kind": "media", "text": None, "ref": at["src"].removeprefix(SCHEME), "caption": at.get("alt") or None})
 
     def handle_endtag(self, tag):
@@ -119,11 +126,18 @@ class _Parser(HTMLParser):
         if tag in self.INLINE:
             return
         if tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for i in self.captioned:
-                self.out[i]["caption"] = said or self.out[i]["caption"]
+            self.said_of = " ".join("".join(self.caption).split())
             self.caption = None
         self.close_text()
+        if tag == "figure":
+            self.close_figure()
+            self.inside = False
+
+    def close_figure(self):
+        """Give the caption, which may stand before or after them, to the figure's references."""
+        for i in self.captioned:
+            self.out[i]["caption"] = self.said_of or self.out[i]["caption"]
+        self.captioned, self.said_of = [], None
 
     def handle_data(self, data):
         if not self.mute:
@@ -136,6 +150,7 @@ def parse(html: str | None) -> list[dict]:
     p.feed(html or "")
     p.close()
     p.close_text()
+    p.close_figure()
     return p.out
 
 
