@@ -5,23 +5,27 @@ among a window's runs of ``m`` words is its minimiser; consecutive windows that
 share one occurrence of it form a super-k-mer. Two equal windows have equal
 minimisers, so only super-k-mers whose minimiser occurs again can matter; those
 travel as one packed string to the bucket of their minimiser, where sorting
-counts windows exactly. The super-k-mers of a minimiser with more than ``HOT`` of
-them are counted as wholes instead, before the shuffle: those that occur again
-repeat in all their windows, and only one of each kind is dealt out window by
-window, under 128-bit digests. Both ways give the same answer.
+counts windows exactly. Runs are ordered by their full hash, then by position, so
+equal windows have the same minimiser wherever they stand. The bucket of a
+minimiser with more than ``HOT`` super-k-mers, or whose windows would take more
+than ``HOT_BYTES``, is split: super-k-mers that are the same string are counted as
+wholes before the shuffle, as all their windows then occur again, and one of each
+kind is dealt out window by window to buckets of the windows' SHA-256, which are
+sorted and counted likewise.
 
 Documents are handled per distinct whole text: two equal texts of ``window``
 words or more are covered by each other entirely, and one of them stands for
 all when compared with the rest.
 
 Defined cases: null text has no words; fewer than ``window`` words are never
-removed; repeated rows count as separate documents; extra columns are ignored;
-null ids are carried through.
+removed; repeated rows count as separate documents; extra columns, whatever their
+names, are kept by :func:`remove_repeats`; null ids are carried through.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airweave.llm.common import mapped, split_join, steps, stored, texts_of
+from airweave.llm.common import digest, mapped, split_join, steps, stored, texts_of
 
-#: Super-k-mers of one minimiser that one task sorts.
-HOT = 1000
-#: Windows that are sorted together.
-SORT = 60_000
+#: Super-k-mers of one minimiser that are sorted together, and bytes of their windows.
+HOT, HOT_BYTES = 1000, 16 << 20
+#: Bytes of windows from which a task sorts what it holds before it goes on to the next bucket.
+SORT_BYTES = 16 << 20
 
 
 def _mers(words: list[bytes], m: int) -> np.ndarray:
@@ -58,15 +62,13 @@ def superkmers(words: list[bytes], bounds: np.ndarray, window: int, m: int) -> t
         none = np.empty(0, np.int64)
         return none, none, none, none
     h = _mers(words, m)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    at = np.arange(len(h))
     span, have = window - m + 1, 1
     while have < span:
         step = min(have, span - have)
-        least = np.minimum(least[:-step], least[step:])
+        near, far = at[:-step], at[step:]
+        at = np.where(h[far] < h[near], far, near)
         have += step
-    at = (least & low).astype(np.int64)
     doc = np.repeat(np.arange(len(sizes)), sizes)[: len(at)]
     start = np.arange(len(at)) - bounds[doc]
     inside = start + window <= sizes[doc]
@@ -76,18 +78,18 @@ def superkmers(words: list[bytes], bounds: np.ndarray, window: int, m: int) -> t
     return d[first], start[idx[first]], np.diff(np.r_[first, len(idx)]), h[p[first]].view(np.int64)
 
 
-def _windows(packed: bytes, window: int) -> list[bytes]:
+def _windows(packed: bytes, window: int) -> Iterator[bytes]:
     """Each window of a packed string, as a string."""
     ends = np.cumsum([len(w) + 1 for w in packed.split(b" ")]).tolist()
     begins = [0, *ends]
-    return [packed[begins[j] : ends[j + window - 1] - 1] for j in range(len(ends) - window + 1)]
+    return (packed[begins[j] : ends[j + window - 1] - 1] for j in range(len(ends) - window + 1))
 
 
 def _repeated(packed: list[bytes], window: int) -> list[list[bool]]:
     """For each packed string, whether each of its windows occurs more than once in all of them."""
     cut, owner = [], []
     for i, s in enumerate(packed):
-        own = _windows(s, window)
+        own = list(_windows(s, window))
         cut += own
         owner += [i] * len(own)
     order = sorted(range(len(cut)), key=cut.__getitem__)
@@ -115,16 +117,21 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
             keys = part.column(0).to_pylist()
             docs = [t.split() for t in texts_of(part)]
             bounds = np.r_[0, np.cumsum([len(d) for d in docs])]
-            d, start, n, mini = superkmers([w for x in docs for w in x], bounds, window, m)
+            words = [w for x in docs for w in x]
+            d, start, n, mini = superkmers(words, bounds, window, m)
+            upto = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)]
+            first = bounds[d] + start
+            size = n * (upto[first + n + window - 1] - upto[first])  # more than its windows take
             edges = np.searchsorted(d, np.arange(len(docs) + 1))
             has = [i for i in range(len(docs)) if edges[i] < edges[i + 1]]
             if has:
-                yield {"key": [keys[i] for i in has], "mini": [mini[edges[i] : edges[i + 1]] for i in has], "start": [start[edges[i] : edges[i + 1]] for i in has], "n": [n[edges[i] : edges[i + 1]] for i in has]}
+                yield {"key": [keys[i] for i in has], "mini": [mini[edges[i] : edges[i + 1]] for i in has], "start": [start[edges[i] : edges[i + 1]] for i in has], "n": [n[edges[i] : edges[i + 1]] for i in has], "size": [size[edges[i] : edges[i + 1]] for i in has]}
 
-    cuts = stored(mapped(texts.select("key", "text"), cut, "key binary, mini array<long>, start array<int>, n array<int>"), "superkmers")
-    again = cuts.select(F.explode("mini").alias("mini")).groupBy("mini").agg(F.count("*").alias("times")).where("times > 1")
+    cuts = stored(mapped(texts.select("key", "text"), cut, "key binary, mini array<long>, start array<int>, n array<int>, size array<long>"), "superkmers")
+    again = cuts.select(F.explode(F.arrays_zip("mini", "size")).alias("x")).groupBy("x.mini").agg(F.count("*").alias("times"), F.sum("x.size").alias("bytes")).where("times > 1")
+    again = again.select("mini", ((F.col("times") > HOT) | (F.col("bytes") > HOT_BYTES)).alias("hot"))
     each = cuts.select("key", F.explode(F.arrays_zip("mini", "start", "n")).alias("x")).select("key", "x.*")
-    marked = split_join(each, again, ["mini"]).groupBy("key").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("times") > HOT).alias("hot"))).alias("cuts"))
+    marked = split_join(each, again, ["mini"]).groupBy("key").agg(F.collect_list(F.struct("start", "n", "mini", "hot")).alias("cuts"))
 
     def pack(batch: pa.RecordBatch):
         for part in steps(batch):
@@ -161,19 +168,19 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
 
         for batch in batches:
             for key, mini, start, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SORT and mini != held["mini"][-1]:
+                if size > SORT_BYTES and mini != held["mini"][-1]:
                     yield flush()
                     size = 0
                 for k, v in zip(held, (key, mini, start, s), strict=True):
                     held[k].append(v)
-                size += s.count(b" ") - window + 2
+                size += (s.count(b" ") - window + 2) * len(s)
         if held["key"]:
             yield flush()
 
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cold = packed.where("not hot").select("key", "mini", "start", "packed").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(count, "key binary, start int, n int")
-    hot = packed.where("hot").select("key", "start", "n", "packed", F.md5("packed").alias("same"))
+    hot = packed.where("hot").select("key", "start", "n", "packed", digest(F.col("packed")).alias("same"))
     kinds = hot.groupBy("same").agg(F.count("*").alias("times"), F.first("packed").alias("packed"), F.first("key").alias("key"), F.first("start").alias("start"))
     whole = split_join(hot, kinds.where("times > 1").select("same"), ["same"]).select("key", "start", "n")
 
@@ -182,7 +189,7 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
             out: dict[str, list] = {"key": [], "start": [], "once": [], "digest": []}
             for key, start, times, s in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 for j, one in enumerate(_windows(s, window)):
-                    for k, v in zip(out, (key, start + j, times == 1, hashlib.md5(one).digest()), strict=True):
+                    for k, v in zip(out, (key, start + j, times == 1, hashlib.sha256(one).digest()), strict=True):
                         out[k].append(v)
             yield out
 
@@ -194,9 +201,10 @@ def repeated_windows(texts: DataFrame, window: int, m: int) -> DataFrame:
 
 
 def without_repeats(df: DataFrame, window: int = 35, m: int = 8, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per distinct text: (key, n_words, n_removed, kept text), and ``df`` with that ``key``."""
-    keyed = df.withColumn("key", F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
-    texts = keyed.groupBy("key").agg(F.first(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"), F.count("*").alias("copies"))
+    """Per distinct text: (key, n_words, n_removed, kept text), and the rows of ``df`` as (row, key)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = df.select(F.struct("*").alias("row"), digest(text).alias("key"))
+    texts = df.select(digest(text).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     found = repeated_windows(texts, window, m)
 
     def keep(batch: pa.RecordBatch):
@@ -222,22 +230,22 @@ def without_repeats(df: DataFrame, window: int = 35, m: int = 8, text_col: str =
     return done, keyed
 
 
-def remove_repeats(df: DataFrame, window: int = 35, m: int = 8, text_col: str = "text", seen: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = 35, m: int = 8, text_col: str = "text") -> DataFrame:
     """``df`` with repeated passages cut from its text, words then joined by single spaces.
 
     Texts that lose nothing keep their own spacing.
     """
     done, keyed = without_repeats(df, window, m, text_col)
-    cut = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text_col))
     lost = done.where("n_removed > 0").select("key", "n_removed", "kept")
-    return split_join(keyed, lost, ["key"], "left").withColumn(text_col, cut).select(*df.columns)
+    cut = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row")[text_col])
+    return split_join(keyed, lost, ["key"], "left").select(F.col("row").withField(text_col, cut).alias("row")).select("row.*")
 
 
 def digests(df: DataFrame, window: int = 35, m: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
     done, keyed = without_repeats(df, window, m, text_col)
     done = done.select("key", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    return split_join(keyed.select(F.col(id_col).alias("doc_id"), "key"), done, ["key"]).drop("key")
+    return split_join(keyed.select(F.col("row")[id_col].alias("doc_id"), "key"), done, ["key"]).drop("key")
 
 
 def sql(window: int = 35) -> str:
