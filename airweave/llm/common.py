@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from airweave.session import shared_path
 
@@ -117,12 +119,9 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def mapped(df: DataFrame, fn, schema: str, rows: int = 1) -> DataFrame:
+def mapped(df: DataFrame, fn, schema: str | StructType, rows: int = 1) -> DataFrame:
     """``mapInArrow`` with ``fn`` from one record batch (of ``rows`` rows or more) to record batches (or dicts of columns)."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(kind)
 
     def run(batches):

@@ -1,132 +1,229 @@
 """Line dedup by a log-template tree of fixed depth.
 
-Each line goes down a tree: the number of its tokens, then its ``lead`` leading
-tokens, variable ones (those with a digit) generalised to ``<*>``. At the leaf a
-line has up to three templates: all its tokens, generalised; for lines of at
-least ``least`` tokens also its head half with the tail as one variable field,
-and its tail half with the head as one. A template that recurs in at least
-``docs`` different texts is boilerplate and its lines are dropped, each
-everywhere or but for the first document that has it.
-
-Templates travel as 64-bit hashes and are counted before and after the shuffle,
-so neither a leaf nor a template is ever gathered; documents with the same whole
-text count once.
+Each line goes down a tree: the number of its tokens, then its leading tokens
+(``lead`` of them, fewer than half of the line), those with a digit generalised
+to ``<*>``. At the leaf, lines are merged token by token: a token that less than
+one in ``RARE`` of the leaf's lines, or fewer than ``docs`` of them, have at its
+position is a variable field, ``<*>`` as well; and once more with a token that
+less than half of them have, as a field of few values is still a field. A merged
+template counts if at least ``FIXED`` in five of its tokens are fixed. A template that recurs in at least
+``docs`` different texts, merged or with only digits generalised, is boilerplate
+and its lines are dropped, each everywhere or but for the first document that
+has it.
+
+Templates and tokens travel as 64-bit hashes and are counted before and after
+the shuffle; a leaf keeps at most ``RARE`` tokens of a position, so neither a
+leaf nor a template is ever gathered. Documents with the same whole text count
+once. Only lines of leaves that hold different templates are looked at token by
+token.
 
 Defined cases: null text has no lines and stays null; blank lines are never
 dropped; a line that occurs often in one text only stays; repeated rows and
-null ids are carried; extra columns are kept by :func:`drop_recurring`.
+null ids are carried; extra columns, whatever their names, are kept by
+:func:`drop_recurring`; a line may be as long as its text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from airweave.llm.common import mapped, split_join, stored, texts_of
+from airweave.llm.common import digest, mapped, split_join, steps, stored, texts_of
 
-_VARIABLE = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
+#: A fixed token is one that at least one in so many lines of the leaf have there; of five tokens at least so many are fixed.
+RARE, FIXED = 10, 3
+#: Counts that a partition holds before it passes them on.
+HELD = 200_000
 
 
-def templates(line: bytes, lead: int = 2, least: int = 8) -> list[bytes]:
-    """Templates of a line; the first has all its tokens. None for a blank line."""
-    tokens = _VARIABLE.sub(FIELD, line).split()
+def tokens_of(line: bytes) -> list[bytes]:
+    """Tokens of a line, those with a digit generalised; none for a blank line."""
+    tokens = line.split()
+    return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+
+
+def leaf_of(tokens: list[bytes], lead: int) -> bytes:
+    """The tree's leaf for a line: its number of tokens and its leading ones."""
     n = len(tokens)
-    if not n:
-        return []
-    head = str(n).encode() + b"|" + b" ".join(tokens[:lead])
-    rest = tokens[lead:]
-    whole = head + b"|" + b" ".join(rest)
-    if n < least:
-        return [whole]
-    half = (len(rest) + 1) // 2
-    return [whole, head + b"|" + b" ".join(rest[:half]) + b"|" + FIELD, head + b"|" + FIELD + b"|" + b" ".join(rest[half:])]
+    return b"%d|%s" % (n, b" ".join(tokens[: min(lead, (n - 1) // 2)]))
+
+
+def slots(tokens: list[bytes]) -> list[int]:
+    """Hash of each token at its position; 0 for variable ones."""
+    return [0 if t == FIELD else _signed(t, i) for i, t in enumerate(tokens)]
 
 
-def _hashes(line: bytes, lead: int, least: int) -> list[int]:
-    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t in templates(line, lead, least)]
+def _signed(x: bytes, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(x, seed) - (1 << 63)
 
 
-def recurring(texts: DataFrame, docs: int, lead: int, least: int) -> DataFrame:
-    """(key, lines, first): numbers of the lines of each distinct text (key, text) that have a recurring
-    template, and those of them that are the first of each of theirs by key."""
+def _parsed(rows: DataFrame, lead: int) -> DataFrame:
+    """(key, line, whole, leaf) of each distinct text of ``rows`` (key, text): number, template and leaf of each line that has tokens."""
 
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {"key": [], "line": [], "template": []}
+        out: dict[str, list] = {"key": [], "line": [], "whole": [], "leaf": []}
         for key, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-            lines, hs, seen = [], [], {}
+            lines, found, seen = [], [], {}
             for i, line in enumerate(text.split(b"\n")):
                 got = seen.get(line)
                 if got is None:
-                    got = seen[line] = _hashes(line, lead, least)
-                lines += [i] * len(got)
-                hs += got
-            out["key"].append(key)
-            out["line"].append(lines)
-            out["template"].append(hs)
+                    tokens = tokens_of(line)
+                    got = seen[line] = (_signed(b" ".join(tokens)), _signed(leaf_of(tokens, lead))) if tokens else ()
+                if got:
+                    lines.append(i)
+                    found.append(got)
+            for c, v in zip(out.values(), (key, lines, [w for w, _ in found], [x for _, x in found]), strict=True):
+                c.append(v)
             if len(out["key"]) == 512:
                 yield out
                 out = {k: [] for k in out}
         if out["key"]:
             yield out
 
-    parsed = stored(mapped(texts.select("key", "text"), run, "key binary, line array<int>, template array<long>"), "templates")
-    counted = parsed.select("key", F.explode(F.array_distinct("template")).alias("template")).groupBy("template").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") >= docs)
-    each = parsed.select("key", F.explode(F.arrays_zip("line", "template")).alias("x")).select("key", "x.*")
-    hit = split_join(each, counted.select("template", "first"), ["template"])
+    parsed = mapped(rows.select("key", "text"), run, "key binary, line array<int>, whole array<long>, leaf array<long>")
+    return stored(parsed.dropDuplicates(["key"]), "templates")
+
+
+def _merged(rows: DataFrame, wholes: DataFrame, docs: int) -> DataFrame:
+    """(whole, merged): the one or two merged templates of each template of ``wholes`` (whole, leaf, n, first) that has enough fixed tokens."""
+    leaves = wholes.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= docs) & (F.col("kinds") > 1))
+    wanted = split_join(wholes, leaves.drop("kinds"), ["leaf"]).groupBy(F.col("first").alias("key")).agg(F.collect_list(F.struct("whole", "leaf", "n", "total")).alias("wanted"))
+
+    def read(batch: pa.RecordBatch):
+        for text, wanted in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
+            out: dict[str, list] = {"whole": [], "leaf": [], "n": [], "total": [], "slots": []}
+            ask = {x["whole"]: x for x in wanted}
+            for line in text.split(b"\n"):
+                tokens = tokens_of(line)
+                if x := ask.pop(_signed(b" ".join(tokens)), None):
+                    for c, v in zip(out.values(), (*x.values(), slots(tokens)), strict=True):
+                        c.append(v)
+                if not ask:
+                    break
+            yield out
+
+    shape = "whole long, leaf long, n long, total long, slots array<long>"
+    lines = stored(mapped(split_join(rows, wanted, ["key"]).select("text", "wanted"), read, shape).dropDuplicates(["whole"]), "lines")
+
+    def count(batches):
+        seen: Counter = Counter()
+
+        def out():
+            found = {"leaf": [k[0] for k in seen], "total": [k[1] for k in seen], "slot": [k[2] for k in seen], "n": list(seen.values())}
+            seen.clear()
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
+
+        for batch in batches:
+            for leaf, n, total, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s in row:
+                    if s:
+                        seen[leaf, total, s] += n
+                if len(seen) > HELD:
+                    yield out()
+        yield out()
+
+    counted = lines.select("leaf", "n", "total", "slots").mapInArrow(count, "leaf long, total long, slot long, n long")
+    fixed = counted.groupBy("leaf", "total", "slot").agg(F.sum("n").alias("n")).where((F.col("n") >= docs) & (F.col("n") * RARE >= F.col("total")))
+    fixed = fixed.groupBy("leaf").agg(F.collect_list("slot").alias("fixed"), F.collect_list(F.when(F.col("n") * 2 >= F.col("total"), F.col("slot"))).alias("strong"))
+
+    def mask(batch: pa.RecordBatch):
+        out: dict[str, list] = {"whole": [], "merged": []}
+        for whole, leaf, row, *kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for held in {tuple(s if s in kind else 0 for s in row) for kind in map(set, kinds)}:
+                if 5 * sum(map(bool, held)) >= FIXED * len(held):
+                    out["whole"].append(whole)
+                    out["merged"].append(_signed(b"%d|" % leaf + b" ".join(b"%d" % s for s in held)))
+        yield out
+
+    return mapped(split_join(lines, fixed, ["leaf"]).select("whole", "leaf", "slots", "fixed", "strong"), mask, "whole long, merged long")
+
+
+def recurring(rows: DataFrame, docs: int, lead: int) -> DataFrame:
+    """(key, lines, first): numbers of the lines of each distinct text of ``rows`` (key, text) that have a
+    recurring template, and those of them whose template has this text as its first by key."""
+    parsed = _parsed(rows, lead)
+    kinds = F.explode(F.array_distinct(F.arrays_zip("whole", "leaf"))).alias("x")
+    wholes = stored(parsed.select("key", kinds).groupBy("x.whole", "x.leaf").agg(F.count("*").alias("n"), F.min("key").alias("first")), "counts")
+    merged = stored(_merged(rows, wholes, docs), "merged")
+    each = parsed.select("key", F.explode(F.arrays_zip("line", "whole")).alias("x")).select("key", "x.*")
+    texts = each.join(merged.hint("merge"), "whole").select("merged", "key").distinct()
+    often = texts.groupBy("merged").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") >= docs)
+    drop = split_join(merged, often.select("merged", "first"), ["merged"]).groupBy("whole").agg(F.min("first").alias("first"))
+    same = wholes.where(F.col("n") >= docs).select("whole", F.col("first").alias("own"))
+    drop = same.join(drop.hint("merge"), "whole", "full").select("whole", F.coalesce("first", "own").alias("first"))
+    hit = split_join(each, drop, ["whole"])
     return hit.groupBy("key").agg(F.collect_set("line").alias("lines"), F.collect_set(F.when(F.col("first") == F.col("key"), F.col("line"))).alias("first"))
 
 
-def without_recurring(df: DataFrame, docs: int = 5, keep_first: bool = False, lead: int = 2, least: int = 8, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per distinct text (key, n_lines, n_dropped, kept), and ``df`` with that ``key``."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = df.withColumn("key", F.unhex(F.md5(text)))
-    texts = keyed.groupBy("key").agg(F.first(text).alias("text"))
-    found = recurring(texts, docs, lead, least)
+def _cut(text: bytes, lines: list[int] | None, first: list[int] | None, keep_first: bool) -> tuple[int, int, bytes]:
+    """(lines, dropped lines, what is kept) of a text, of which the numbers ``lines`` recur, ``first`` as their template's first."""
+    rows = text.split(b"\n") if text else []
+    gone = set(lines or ()) - set((first or ()) if keep_first else ())
+    return len(rows), len(gone), b"\n".join([x for i, x in enumerate(rows) if i not in gone]) if gone else text
 
-    def run(batch: pa.RecordBatch):
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            out: dict[str, list] = {"key": part.column(0).to_pylist(), "n_lines": [], "n_dropped": [], "kept": []}
-            for text, drop, first in zip(texts_of(part), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                lines = text.split(b"\n") if text else []
-                gone = set(drop or ()) - (set(first or ()) if keep_first else set())
-                kept = [x for i, x in enumerate(lines) if i not in gone] if gone else lines
-                out["n_lines"].append(len(lines))
-                out["n_dropped"].append(len(lines) - len(kept))
-                out["kept"].append(b"\n".join(kept).decode())
-            yield out
 
-    done = mapped(texts.join(found.hint("merge"), "key", "left").select("key", "text", "lines", "first"), run, "key binary, n_lines long, n_dropped long, kept string")
-    return done, keyed
+def _judged(df: DataFrame, docs: int, lead: int, text_col: str) -> DataFrame:
+    """(row, text, lines, first) of each row of ``df``."""
+    text = F.col(text_col).cast("string")
+    key = digest(F.coalesce(text, F.lit(""))).alias("key")
+    found = recurring(df.select(key, F.coalesce(text, F.lit("")).alias("text")), docs, lead)
+    return split_join(df.select(F.struct("*").alias("row"), text.alias("text"), key), found, ["key"], "left").select("row", "text", "lines", "first")
 
 
-def drop_recurring(df: DataFrame, docs: int = 5, keep_first: bool = False, lead: int = 2, least: int = 8, text_col: str = "text") -> DataFrame:
+def drop_recurring(df: DataFrame, docs: int = 5, keep_first: bool = False, lead: int = 2, text_col: str = "text") -> DataFrame:
     """``df`` without the lines that have a recurring template."""
-    done, keyed = without_recurring(df, docs, keep_first, lead, least, text_col)
-    lost = done.where("n_dropped > 0").select("key", "kept")
-    return split_join(keyed, lost, ["key"], "left").withColumn(text_col, F.coalesce("kept", text_col)).select(*df.columns)
+    at = df.columns.index(text_col)
+    judged = _judged(df, docs, lead, text_col)
+
+    def run(batch: pa.RecordBatch):
+        for part in steps(batch):
+            row = part.column(0)
+            fields = row.flatten()
+            cut = [_cut(t, x, y, keep_first) for t, x, y in zip(texts_of(part), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            kept = pa.array([None if n else t for (_, n, _), t in zip(cut, fields[at], strict=True)], fields[at].type)
+            fields[at] = pa.compute.coalesce(kept, pa.array([k.decode() if n else None for _, n, k in cut], fields[at].type))
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], ["row"])
+
+    return mapped(judged, run, StructType([judged.schema["row"]])).select("row.*")
 
 
-def digests(df: DataFrame, docs: int = 5, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(df: DataFrame, docs: int = 5, keep_first: bool = False, lead: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row."""
-    done, keyed = without_recurring(df, docs, keep_first, text_col=text_col)
-    done = done.select("key", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
-    return split_join(keyed.select(F.col(id_col).alias("doc_id"), "key"), done, ["key"]).drop("key")
+    judged = _judged(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), docs, lead, "text")
+
+    def run(batch: pa.RecordBatch):
+        for part in steps(batch, "text"):
+            cut = [_cut(t, x, y, keep_first) for t, x, y in zip(texts_of(part), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            yield {"doc_id": part.column(0), "n_lines": [n for n, _, _ in cut], "n_dropped": [n for _, n, _ in cut], "kept_sha256": [hashlib.sha256(k).hexdigest() for _, _, k in cut]}
+
+    return mapped(judged.select("row.doc_id", "text", "lines", "first"), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
-def sql(docs: int = 5, lead: int = 2, least: int = 8) -> str:
+def sql(docs: int = 5, lead: int = 2) -> str:
     """DuckDB SQL for :func:`digests` (lines dropped everywhere) over ``documents``."""
     return f"""WITH texts AS (SELECT DISTINCT coalesce(text, '') AS text FROM documents),
 lines AS (SELECT text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts WHERE text <> ''),
 tokens AS (SELECT text, i, line, list_filter(regexp_split_to_array(regexp_replace(line, '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS t FROM lines),
-cut AS (SELECT text, i, len(t) AS n, len(t) || '|' || array_to_string(t[1:{lead}], ' ') AS head, t[{lead + 1}:] AS rest FROM tokens WHERE len(t) > 0),
-made AS (SELECT text, i, unnest(CASE WHEN n < {least} THEN [head || '|' || array_to_string(rest, ' ')] ELSE [head || '|' || array_to_string(rest, ' '), head || '|' || array_to_string(rest[1:(len(rest) + 1) // 2], ' ') || '|<*>', head || '|<*>|' || array_to_string(rest[(len(rest) + 1) // 2 + 1:], ' ')] END) AS template FROM cut),
-often AS (SELECT template FROM (SELECT DISTINCT template, text FROM made) GROUP BY template HAVING count(*) >= {docs}),
-gone AS (SELECT DISTINCT text, i FROM made JOIN often USING (template)),
+cut AS (SELECT text, i, t, array_to_string(t, ' ') AS whole, len(t) || '|' || array_to_string(t[1:least({lead}, (len(t) - 1) // 2)], ' ') AS leaf FROM tokens WHERE len(t) > 0),
+wholes AS (SELECT whole, leaf, any_value(t) AS t, count(DISTINCT text) AS n FROM cut GROUP BY whole, leaf),
+leaves AS (SELECT leaf, sum(n) AS total FROM wholes GROUP BY leaf HAVING sum(n) >= {docs} AND count(*) > 1),
+each AS (SELECT whole, leaf, n, total, len(t) AS size, unnest(t) AS token, generate_subscripts(t, 1) AS j FROM wholes JOIN leaves USING (leaf)),
+fixed AS (SELECT leaf, j, token, sum(n) * 2 >= total AS strong FROM each WHERE token <> '<*>' GROUP BY leaf, j, token, total HAVING sum(n) >= {docs} AND sum(n) * {RARE} >= total),
+paired AS (SELECT whole, leaf, size, e.j, e.token, f.token IS NOT NULL AS a, coalesce(strong, false) AS b FROM each e LEFT JOIN fixed f USING (leaf, j, token)),
+merged AS (SELECT whole, leaf, string_agg(CASE WHEN a THEN token ELSE '<*>' END, ' ' ORDER BY j) AS m FROM paired GROUP BY whole, leaf, size HAVING 5 * count(*) FILTER (WHERE a) >= {FIXED} * size
+  UNION SELECT whole, leaf, string_agg(CASE WHEN b THEN token ELSE '<*>' END, ' ' ORDER BY j) AS m FROM paired GROUP BY whole, leaf, size HAVING 5 * count(*) FILTER (WHERE b) >= {FIXED} * size),
+often AS (SELECT leaf, m FROM cut JOIN merged USING (whole, leaf) GROUP BY leaf, m HAVING count(DISTINCT text) >= {docs}),
+drops AS (SELECT whole FROM wholes WHERE n >= {docs} UNION SELECT whole FROM merged JOIN often USING (leaf, m)),
+gone AS (SELECT text, i FROM cut JOIN drops USING (whole)),
 kept AS (SELECT l.text, count(*) AS n_lines, count(g.i) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS kept FROM lines l LEFT JOIN gone g ON l.text = g.text AND l.i = g.i GROUP BY l.text)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN kept k ON coalesce(d.text, '') = k.text"""

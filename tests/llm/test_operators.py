@@ -165,6 +165,32 @@ def test_links_connect_all_near_fingerprints(spark, monkeypatch, most):
     assert got == {f: root(f) for f in signed if root(f) != f}
 
 
+def test_components_of_more_links_than_one_partition_holds(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FOREST", 20)
+    rng = np.random.default_rng(4)
+    pairs = [tuple(sorted(map(int, p), reverse=True)) for p in rng.integers(-200, 200, (260, 2)) if p[0] != p[1]] + [(1000 + i, 999 + i) for i in range(120)]
+    got = {r["u"]: r["v"] for r in simhash.stars(spark.createDataFrame(pairs, "u long, v long").repartition(7)).collect()}
+    up = {v: v for p in pairs for v in p}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in pairs:
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    assert got == {v: root(v) for v in up if root(v) != v}
+
+
+def test_entries_tell_shared_bytes():
+    """Of positions that agree, 6 hold exactly 3 entries, more hold more, fewer hold one at most."""
+    from itertools import combinations
+
+    held = {n: {sum(set(q) <= set(c) for q in simhash.QUADS) for c in combinations(range(8), n)} for n in range(9)}
+    assert len(simhash.QUADS) == 14 and held[8] == {14} and held[7] == {7} and held[6] == {simhash.AGREE} and max(held[5]) == 1
+
+
 def test_long_chain_is_one_component(spark):
     chain = [(1 << k) - 1 for k in range(60)]
     got = simhash.stars(simhash.links(spark.createDataFrame([(f,) for f in chain], "fp long"))).collect()
@@ -350,6 +376,18 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_long_runs():
+    """Millions of blanks, and texts without any, as the library cuts them."""
+    t = packing.tokenizer(P.path("byte_bpe_50k.json"))
+    for x in (" " * 2_000_000 + "a", "\n" * 1_000_000 + "a", "x" + " " * 1_200_000, "b " + "\t" * 200_000 + " c\n" + " " * 120_000 + "é!", "ab" * 2_500_000, "\x85" * 150_000 + "\x1c" * 150_000 + " z"):
+        assert t.ids(x).tolist() == t.own.encode(x, add_special_tokens=False).ids
+
+
+def test_other_ways_of_splitting_are_refused():
+    with pytest.raises(ValueError):
+        packing.ByteTokenizer(P.path("word_bpe_49k.json"))
+
+
 def test_special_strings_follow_the_file():
     from tokenizers import Tokenizer
 
@@ -386,6 +424,31 @@ def test_media(docs, none):
     assert media.media_of_documents(none).count() == 0
 
 
+def test_stored_forms(docs):
+    """The stored form's digest, size and feature by plain recomputation; equal texts, equal values."""
+    for r in media.media_of_documents(docs).collect():
+        text = next((t or "").encode() for i, t, *_ in DOCS if i == r["doc_id"])
+        samples = np.frombuffer(text + b"\0" * (-len(text) % 64 if text else 64), np.uint8).reshape(-1, 64)
+        png = media.to_png(samples.tobytes())
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), sha(png))
+        size, span, total, bins = r["feature"].split(";")
+        assert size == f"64x{len(samples)}" and span == f"{samples.min()}..{samples.max()}" and total == f"sum={samples.sum(dtype=np.int64)}"
+        assert bins == "hist=" + ",".join(str(int(((samples >= 16 * k) & (samples < 16 * k + 16)).sum())) for k in range(16))
+
+
+def test_captions_of_pages(spark):
+    html = """<p>a</p><figure><figcaption>first</figcaption><img src="media:x1"><img src="media:x2" alt="no"></figure><p>b</p>
+    <figure><img src="media:x3" alt="own"></figure><img src="media:x4" alt="out"><figure><video src="media:x5"></video><figcaption>last</figcaption></figure>
+    <figure><img src="media:x6"><figcaption>open</figcaption>"""
+    df = spark.createDataFrame([(1, html, "t", "c"), (1, html, "t", "c"), (None, None, "t", "c")], "page_id long, html string, digest string, caption string")
+    seqs = media.sequences(df)
+    facts = spark.createDataFrame([(f"x{i}", i, "other") for i in (1, 1, 3, 5)], "digest string, payload_bytes long, feature string")
+    got = Counter((r["page_id"], r["digest"], r["caption"], r["payload_bytes"]) for r in media.resolve(seqs, facts, "page_id").collect())
+    assert got == Counter({(1, "x1", "first", 1): 2, (1, "x2", "first", None): 2, (1, "x3", "own", 3): 2, (1, "x4", "out", None): 2, (1, "x5", "last", 5): 2, (1, "x6", "open", None): 2})
+    kinds = [x["kind"][0] for x in next(r["sequence"] for r in seqs.collect() if r["page_id"] == 1)]
+    assert "".join(kinds) == "tmmtmmmm"
+
+
 def test_png_round_trip():
     for n in (64, 640, 64 * 1000):
         x = np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes()
@@ -430,7 +493,8 @@ def test_templates(spark, none):
     rows += [(9, "Read more", None, None, None), (None, None, None, None, None), (10, "twice\ntwice\ntwice\ntwice\ntwice\ntwice", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in templates.digests(df, docs=5).collect()}
-    assert got == {**{i: (5, 3) for i in range(5)}, 9: (1, 1), None: (0, 0), 10: (6, 0)}
+    # "own line a of text here" to "own line e of text here" differ in one field: a template as well
+    assert got == {**{i: (5, 4) for i in range(5)}, 9: (1, 1), None: (0, 0), 10: (6, 0)}
     kept = templates.drop_recurring(df, docs=5, keep_first=True)
     assert kept.columns == df.columns
     text = {r["doc_id"]: r["text"] for r in kept.collect()}
@@ -440,10 +504,75 @@ def test_templates(spark, none):
     assert templates.digests(none).count() == 0
 
 
-def test_template_tree():
-    assert templates.templates(b"  ") == []
-    assert templates.templates(b"a b1 c") == [b"3|a <*>|c"]
-    assert templates.templates(b"a b c d e f g h") == [b"8|a b|c d e f g h", b"8|a b|c d e|<*>", b"8|a b|<*>|f g h"]
+def brute_lines(texts, docs=5, lead=2):
+    """Text -> numbers of its lines that go, with templates as lists of tokens."""
+    cut = {}
+    for t in texts:
+        for i, line in enumerate(t.split("\n") if t else []):
+            w = tuple("<*>" if any(c in "0123456789" for c in x) else x for x in line.encode().decode("latin-1").split(" ") if x)
+            if w:
+                cut[t, i] = w
+    leaf = {w: (len(w), w[: min(lead, (len(w) - 1) // 2)]) for w in cut.values()}
+    having = {w: len({t for (t, _), x in cut.items() if x == w}) for w in leaf}
+    total = Counter()
+    kinds = Counter(leaf.values())
+    for w in leaf:
+        total[leaf[w]] += having[w]
+    at = Counter()
+    for w in leaf:
+        x, n = leaf[w], having[w]
+        at.update({(x, i, a): n for i, a in enumerate(w)})
+    merged = {}
+    for w, x in leaf.items():
+        merged[w] = set()
+        for rare in (10, 2):
+            if total[x] >= docs and kinds[x] > 1:
+                m = tuple(a if a != "<*>" and at[x, i, a] >= docs and at[x, i, a] * rare >= total[x] else None for i, a in enumerate(w))
+                if 5 * sum(a is not None for a in m) >= 3 * len(m):
+                    merged[w].add((x, m))
+    often = Counter(m for _, m in {(t, m) for (t, _), w in cut.items() for m in merged[w]})
+    out = {t: set() for t in texts}
+    for (t, i), w in cut.items():
+        if having[w] >= docs or any(often[m] >= docs for m in merged[w]):
+            out[t].add(i)
+    return out
+
+
+def test_template_tree(spark):
+    assert templates.tokens_of(b"  ") == [] and templates.tokens_of(b"a b1 c") == [b"a", b"<*>", b"c"]
+    assert templates.leaf_of([b"a", b"b", b"c", b"d", b"e"], 2) == b"5|a b" and templates.leaf_of([b"a", b"b", b"c", b"d"], 2) == b"4|a"
+    rng = np.random.default_rng(21)
+    names = ["Anna", "Bob", "Cleo", "Dan", "Eve", "Finn", "Gus", "Hal", "Ida", "Jo", "Kim", "Lea"]
+    rows = []
+    for i in range(200):
+        plain = lambda n: prose(n, rng).translate(str.maketrans("0123456789", "abcdefghij"))
+        lines = [plain(int(rng.integers(3, 30))) for _ in range(3)] + [f"opening words {plain(8)}"]
+        if i % 3 == 0:
+            lines.insert(1, f"Posted by {rng.choice(names)} in {rng.choice(['Travel', 'Sport', 'Art', 'Law'])}")
+            lines.insert(0, f"User {rng.choice(names)} logged in")
+        if i % 4 == 0:
+            lines.append(f"Written by {rng.choice(names)} {rng.choice(names)} for the Daily on {rng.choice(['Monday', 'Friday'])}")
+        if i % 50 == 0:
+            lines.append(f"{plain(40)} only {i}")
+        rows.append((i, "\n".join(lines), None, None, None))
+    rows += [(900 + i, rows[i % 5][1], None, None, None) for i in range(20)] + [(None, None, "x", None, None), (None, "", None, None, None), (990, " ".join(["long"] * 50_000), None, None, None)]
+    want = brute_lines({r[1] or "" for r in rows})
+    got = templates.digests(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    assert Counter((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in got) == Counter((r[0], len(r[1].split("\n")) if r[1] else 0, len(want[r[1] or ""])) for r in rows)
+    gone = [t.split("\n")[i] for t, x in want.items() for i in x]
+    assert sum(x.startswith("Posted") for x in gone) == sum(x.startswith("User") for x in gone) == 67 and sum(x.startswith("Written") for x in gone) == 50
+    assert not any(x.startswith("opening") or len(x.split()) > 12 for x in gone)  # prose with a common opening stays
+
+
+def test_names_that_clash(spark):
+    """Columns called like the operators' own keep their values."""
+    names = ["key", "kept", "_mark", "n_removed", "lines", "first", "digest", "row", "runs", "whole", "merged", "doc_id", "text"]
+    rows = [tuple(f"{n}{i}" for n in names[:-2]) + (i, f"{PASSAGE}\nRead more\n{prose(20)}") for i in range(6)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names[:-2]) + ", doc_id long, text string")
+    for out in (substrings.remove_repeats(df), templates.drop_recurring(df), simhash.one_of_each(df)):
+        got = out.collect()
+        assert out.columns == names and len(got) == 6
+        assert {tuple(r)[:-1] for r in got} == {r[:-1] for r in rows}
 
 
 # Toxicity
@@ -585,6 +714,33 @@ def test_neighbours(spark, unit):
     assert got[got.query_id == 0].sort_values("rank").vec_id.tolist()[:20] == list(range(1000, 1020))
 
 
+def test_ties_and_double_vectors(spark):
+    """Equal scores from different vectors go to the smaller ids; scores are those of the doubles given."""
+    rng = np.random.default_rng(3)
+    q = [1.0] + [0.0] * 7
+    rows = [(0, q)] + [(100 + i, [0.5, *map(float, rng.normal(size=7))]) for i in range(300)]
+    rows += [(1000, [0.1, 0.2] + [0.0] * 6), (1020, [0.3, 0.7] + [0.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    x = np.array([v for _, v in rows])
+    ids = np.array([i for i, _ in rows])
+    got = ann.nearest(df, lambda i: i % 20 == 0, 20, recall=1.0).toPandas()
+    for i in (0, 1000, 1020):
+        s = (x * x[ids == i]).sum(1)
+        top = [k for k in np.lexsort((ids, -s)) if ids[k] != i][:20]
+        mine = got[got.query_id == i].sort_values("rank")
+        assert mine.vec_id.tolist() == ids[top].tolist() and np.abs(mine.score.to_numpy() - s[top]).max() < 1e-15
+
+
+@pytest.mark.parametrize("hashes", [1, 2])
+def test_recall_by_rotations(spark, hashes):
+    rng = np.random.default_rng(hashes)
+    x = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, lambda i: i % 20 == 0, 20, hashes=hashes).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
+    hit = sum(len(set(r["v"]) & set(np.argsort(-np.where(np.arange(3000) == r["query_id"], -np.inf, x @ x[r["query_id"]]))[:20].tolist())) for r in got)
+    assert len(got) == 150 and hit / 3000 >= 0.9
+
+
 def test_few_and_no_vectors(spark):
     df = vectors(spark)
     few = ann.nearest(df.where("vec_id IN (0, 1, 2)"), lambda i: i % 20 == 0, 20)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from airweave.llm import simhash, templates
+from airweave.llm import simhash
 
 pytest.importorskip("public_tokenizers")
 
@@ -68,7 +68,3 @@ def test_no_labels_or_documents(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
-def test_first_of_each_template_stays():
-    assert templates.templates(b"Share this page now") == [b"4|Share this|page now"]
