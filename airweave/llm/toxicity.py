@@ -2,9 +2,11 @@
 
 From labelled texts a lexicon of words and stems is learned whose presence tells
 toxic texts from others. A Levenshtein automaton of one edit, run along the
-lexicon's trie, finds misspelt terms. Each hit is weighed by how well its
-term tells texts apart and by its context window: address to a person and further hits make abuse likelier, quotation marks and
-words of reporting less likely. A logistic fit over the weighed hits gives the score.
+lexicon's trie, finds misspelt terms. Each hit is weighed by how well its term
+tells texts apart. Its context window tells whether it is aimed at a person,
+stands among further hits, or is quoted or reported. A logistic fit over the
+weighed hits and the shares of them in each such context gives the score; it
+starts from ``PRIOR``, so that without evidence quotation counts less and address more.
 
 The fit uses at most ``max_train`` labelled rows of each class; every whole text
 is scored. Labels of ids that are held out never reach the fit.
@@ -32,6 +34,10 @@ _TOKEN = re.compile(r"\w(?:[\w*@$]*\w)?")
 QUOTES = frozenset("\"'`«»“”„‘’‹›")
 REPORT = frozenset("said says called word term quote quoted quotes phrase slur insult means meaning sagte wort begriff zitat dit mot terme citation dijo palabra cita".split())
 ADDRESS = frozenset("you your yours youre u ur du dich dir dein deine sie ihr tu te toi ton ta vous votre tú ti usted vosotros".split())
+#: What contexts add to a hit's weight before there is evidence: aimed at a person, among others, quoted, misspelt; and how firmly.
+PRIOR, FIRM = (0.5, 0.25, -0.75, -0.3), 1.0
+#: Labelled texts of class 1 that a term needs at least, its log odds, and the log likelihood ratio that proves it.
+LEAST, ODDS, EVIDENCE = 4, 3, 10
 STEMS, WINDOW, MEMO, LONGEST = (4, 5, 6, 7, 8), 6, 200_000, 40
 
 
@@ -118,8 +124,8 @@ class Scorer(dict):
         self[word] = got
         return got
 
-    def hits(self, text: str) -> tuple[int, list[tuple[str, bool, float]]]:
-        """Number of words, and (term, misspelt, weight by context) of each hit."""
+    def hits(self, text: str) -> tuple[int, list[tuple]]:
+        """Number of words, and (term, misspelt, weight, aimed, among others, quoted) of each hit; the weight is by ``PRIOR``."""
         text = text.lower()
         words = _TOKEN.findall(text)
         found = list(map(self.__getitem__, words))
@@ -134,22 +140,34 @@ class Scorer(dict):
             a, b = spans[i]
             quoted = (text[a - 1 : a] in QUOTES and a > 0) or (text[b : b + 1] in QUOTES and b < len(text)) or not REPORT.isdisjoint(around)
             more = sum(x is not None for x in found[lo:hi]) - 1
-            weight = 1 + 0.5 * (not ADDRESS.isdisjoint(around)) + 0.25 * min(more, 2) - 0.75 * quoted
-            out.append((*found[i], weight * self.lexicon.strength.get(found[i][0], 1.0)))
+            context = (not ADDRESS.isdisjoint(around), min(more, 2) > 0, quoted)
+            weight = 1 + sum(p * c for p, c in zip(PRIOR, context, strict=False))
+            out.append((*found[i], weight * self.strength(found[i][0]), *context))
         return len(words), out
 
+    def strength(self, term: str) -> float:
+        return self.lexicon.strength.get(term, 1.0)
 
-def features(n: int, hits: list[tuple[str, bool, float]]) -> list[float]:
-    total = sum(w * (0.7 if misspelt else 1.0) for _, misspelt, w in hits)
-    return [1.0, float(total > 0), float(np.log1p(total)), float(np.log1p(1000 * total / (n + 20)))]
 
+def features(n: int, hits: list[tuple], strength) -> list[float]:
+    """Constant, any hit, sum and density of the hits' strengths, and the sum times their shares in each context."""
+    own = [strength(h[0]) for h in hits]
+    total = sum(own)
+    size = float(np.log1p(total))
+    share = [sum(w for w, h in zip(own, hits, strict=True) if h[i]) / total if total else 0.0 for i in (3, 4, 5, 1)]
+    return [1.0, float(total > 0), size, float(np.log1p(1000 * total / (n + 20))), *(size * x for x in share)]
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Weights by Newton steps; rows count ``n`` times, contexts are held near ``PRIOR``."""
+    k = x.shape[1]
+    start = np.r_[np.zeros(k - len(PRIOR)), PRIOR]
+    hold = np.r_[0.0, np.full(k - 1 - len(PRIOR), ridge), np.full(len(PRIOR), FIRM)]
+    w = np.zeros(k)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * np.r_[0, w[1:]]
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        g = x.T @ (n * (p - y)) + hold * (w - start)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(np.maximum(hold, ridge))
         step = np.linalg.solve(h, g)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -164,7 +182,8 @@ class Model:
     def score(self, n: int, hits: list) -> float:
         if self.weights is None:
             return self.share
-        return float(1 / (1 + np.exp(-np.clip(features(n, hits) @ self.weights, -30, 30))))
+        strength = self.lexicon.strength
+        return float(1 / (1 + np.exp(-np.clip(features(n, hits, lambda t: strength.get(t, 1.0)) @ self.weights, -30, 30))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
@@ -181,8 +200,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train:
     return stored(rows.select("y", "text").distinct(), "sample"), sizes.get(1, 0), sizes.get(0, 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int = 20_000, terms: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on the labelled documents that are not ``held_out`` (a condition on the id), at most ``max_train`` of each class."""
+def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on the labelled documents that are not ``held_out`` (a condition on the id), at most ``max_train`` of each class.
+
+    The lexicon has every term that the evidence proves; that is at most as many as the sampled texts have.
+    """
     some, n1, n0 = sample(docs, labels, label, held_out, max_train, id_col, text_col)
     if not n1 or not n0:
         return Model(None, None, 1.0 if n1 else 0.0)
@@ -210,14 +232,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int
                     yield from out()
         yield from out()
 
-    least = max(4, 0.01 * min(n1, max_train))
-    m1, m0 = min(n1, max_train), min(n0, max_train)
+    found = {r["y"]: r["n"] for r in some.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    m1, m0 = found.get(1, 0), found.get(0, 0)
+    if not m1 or not m0:  # labels without documents
+        return Model(None, None, n1 / (n1 + n0))
     seen = some.mapInArrow(count, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (m1 + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (m0 + 1))
     # log likelihood of a term's texts under their own shares of the classes over that under the sample's: few texts prove little
     p, neg, share = F.col("pos"), F.col("n") - F.col("pos"), m1 / (m1 + m0)
     evidence = p * F.log(p / (F.col("n") * share)) + F.when(neg > 0, neg * F.log(neg / (F.col("n") * (1 - share)))).otherwise(0.0)
-    good = seen.withColumn("odds", odds).where((p >= least) & (F.col("odds") >= 3) & (evidence >= 10)).orderBy(F.desc("pos"), "term").limit(terms).collect()
+    good = seen.withColumn("odds", odds).where((p >= LEAST) & (F.col("odds") >= ODDS) & (evidence >= EVIDENCE)).orderBy(F.desc("pos"), "term").collect()
     pos = {r["term"]: r["pos"] for r in good}
     strength = {r["term"]: min(1.0, max(0.2, (r["odds"] - 2) / 4)) for r in good}
     words = {t: p for t, p in pos.items() if t[-1] != "*"}
@@ -235,10 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int
         for text in texts_of(batch):
             n, hits = scorer.hits(text.decode())
             out["n"].append(n)
-            out["hits"].append([{"term": t, "near": m, "w": w} for t, m, w in hits])
+            out["hits"].append([dict(zip(("term", "near", "w", "aimed", "more", "quoted"), h, strict=True)) for h in hits])
         yield out
 
-    found = stored(mapped(some, search, "y int, n long, hits array<struct<term: string, near: boolean, w: double>>"), "hits")
+    found = stored(mapped(some, search, "y int, n long, hits array<struct<term: string, near: boolean, w: double, aimed: boolean, more: boolean, quoted: boolean>>"), "hits")
     each = found.select("y", F.explode(F.array_distinct(F.transform(F.filter("hits", lambda h: h.near), lambda h: h.term))).alias("term"))
     fuzzy = {t + "*" * (t in first.stems) for t in first.words | first.stems}
     for r in each.groupBy("term").agg(F.sum(1 - F.col("y")).alias("neg"), F.sum("y").alias("pos")).collect():
@@ -247,15 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int
     lexicon = Lexicon(words, stems, fuzzy, strength)
 
     def measure(batch: pa.RecordBatch):
-        hits = [[(h["term"], h["near"], h["w"]) for h in hs if not h["near"] or h["term"] in fuzzy] for hs in batch.column(2).to_pylist()]
-        yield {"y": batch.column(0), "x": [features(n, h) for n, h in zip(batch.column(1).to_pylist(), hits, strict=True)]}
+        hits = [[tuple(h.values()) for h in hs if not h["near"] or h["term"] in fuzzy] for hs in batch.column(2).to_pylist()]
+        yield {"y": batch.column(0), "x": [features(n, h, lambda t: strength.get(t, 1.0)) for n, h in zip(batch.column(1).to_pylist(), hits, strict=True)]}
 
     sample_rows = mapped(found, measure, "y int, x array<double>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
     x, y, n = np.array([r["x"] for r in sample_rows]), np.array([r["y"] for r in sample_rows], float), np.array([r["n"] for r in sample_rows])
-    if set(y) != {0.0, 1.0}:  # labels without documents
-        return Model(None, None, n1 / (n1 + n0))
-    w = _logistic(np.repeat(x, n, axis=0), np.repeat(y, n))
-    w[0] += np.log((n1 / n0) / (m1 / m0))  # the classes' shares, if one was drawn more sparsely
+    w = _logistic(x, y, n)
+    w[0] += np.log((n1 / min(n1, max_train)) / (n0 / min(n0, max_train)))  # the classes' shares, if one was drawn more sparsely
     return Model(lexicon, w, n1 / (n1 + n0))
 
 
