@@ -2,17 +2,21 @@
 
 A text is brought to a canonical form (lower case, no copyright lines, one
 spelling for equivalent ones, punctuation and white space as single spaces) and
-its digest is looked up among those of known licence texts, which a broadcast
-hash join holds: the table is a constant of this module. The lines of a text
-that speak of a licence are looked up alike, among one-line notices.
+its digest is looked up among those of known licence texts by a hash join. These
+are a table of ids and texts; without one, the constants of this module and the
+texts in ``known`` are built into the plan, with the title lines that they are
+found under, and broadcast, as their number is fixed. The lines of a text that
+speak of a licence are looked up alike, among one-line notices.
 
 Defined cases: null and empty texts have the canonical form "" and match
 nothing; repeated rows give repeated results; null ids are carried; extra
-columns are ignored.
+columns are ignored; of known texts with one canonical form the smallest id counts.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +54,36 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
-LICENSES = {"MIT": MIT, "ISC": ISC, "0BSD": ZERO_BSD, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Zlib": ZLIB}
+MIT_0 = MIT.split("\n\nThe above")[0].replace("MIT License", "MIT No Attribution").replace(", subject to the following conditions:", ".") + "\n\n" + MIT.split("\n\n")[-1]
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+LICENSES = {"MIT": MIT, "MIT-0": MIT_0, "ISC": ISC, "0BSD": ZERO_BSD, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "Zlib": ZLIB, "Unlicense": UNLICENSE, "BSL-1.0": BOOST}
+#: Lines that stand above these texts; "" for none.
+TITLES = {
+    "MIT": ["", "MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["", "MIT No Attribution", "MIT-0 License"],
+    "ISC": ["", "ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["", "BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"],
+    "BSD-2-Clause": ["", "BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["", "BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "BSD License", "Modified BSD License"],
+    "Zlib": ["", "zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+    "Unlicense": ["", "The Unlicense", "Unlicense"],
+    "BSL-1.0": ["", "Boost Software License - Version 1.0 - August 17th, 2003"],
+}
 #: One-line notices.
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
@@ -70,7 +103,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUOTES, PLAIN = "‘’“”–—", "''\"\"--"
 #: (pattern, replacement with \1, \2): copyright lines; punctuation and space; then equivalent spellings.
 RULES = [
-    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|:|[0-9])|\(c\)[ \t]*(copyright|[0-9])|©)[^\n]*", r"\1"),
+    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|:|[0-9<{]|\[)|copyright[ \t][^\n]*([12][0-9][0-9][0-9]|foundation|and other contributors|, inc\b|\bltd\b|\bllc\b|\bgmbh\b|corporation)|\(c\)[ \t]*(copyright|[0-9])|©)[^\n]*", r"\1"),
     (r"(^|\n)[^a-z0-9\n]*all rights reserved[^\n]*", r"\1"),
     (r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " "),
 ]
@@ -95,25 +128,38 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known(spark) -> DataFrame:
-    """(canonical_md5, license_id) of the known texts: a constant table of a few rows, built in the plan."""
-    rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in known_texts()])
-    return spark.range(1).select(F.inline(rows)).select(F.md5(canonical(F.col("text"))).alias("canonical_md5"), "license_id")
+def known(spark, table: DataFrame | None = None) -> DataFrame:
+    """(canonical_md5, license_id) of a table of known texts (license_id, text), or of those built in."""
+    if table is None:
+        rows = F.array(*[F.struct(F.lit(k).alias("license_id"), F.lit(v).alias("text")) for k, v in known_texts()])
+        table = spark.range(1).select(F.inline(rows))
+    return table.groupBy(F.md5(canonical(F.col("text"))).alias("canonical_md5")).agg(F.min("license_id").alias("license_id"))
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """Known texts, those with a title line also without it."""
-    return [*LICENSES.items(), *((k, LICENSES[k].split("\n", 2)[2]) for k in ("MIT", "ISC"))]
-
-
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, canonical_md5, license_id (null unless the whole text is a known licence), notices (ids that its lines give)."""
+    """Known texts under each of their titles; the Apache licence also without its appendix."""
+    out = []
+    for k, text in LICENSES.items():
+        head, _, rest = text.partition("\n\n")
+        out += [(k, f"{t}\n\n{rest if head in TITLES[k] else text}") for t in TITLES[k]]
+    for f in sorted(resources.files("airweave.llm").joinpath("known").iterdir(), key=lambda f: f.name):
+        text = f.read_text(encoding="utf-8", errors="replace")
+        out += [(f.name.removesuffix(".txt"), x) for x in {text: 0, text.partition("APPENDIX: How to apply")[0]: 0}]
+    return out
+
+
+def scan(df: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, canonical_md5, license_id (null unless the whole text is a known licence), notices (ids that its lines give).
+
+    ``table``: known texts (license_id, text) in place of those built in, of any size.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[Ll][Ii][Cc][Ee][Nn][CcSs]"))
-    table = F.create_map(*[F.lit(x) for k, v in NOTICES.items() for x in (_plain_canonical(k), v)])
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(table, canonical(x))), lambda x: x.isNotNull())))
+    ids = F.create_map(*[F.lit(x) for k, v in NOTICES.items() for x in (_plain_canonical(k), v)])
+    notices = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(ids, canonical(x))), lambda x: x.isNotNull())))
     rows = df.select(F.col(id_col).alias("doc_id"), F.md5(canonical(text)).alias("canonical_md5"), F.concat_ws(",", notices).alias("notices"))
-    return rows.join(F.broadcast(known(df.sparkSession)), "canonical_md5", "left").select("doc_id", "canonical_md5", "license_id", "notices")
+    texts = known(df.sparkSession, table)
+    return rows.join(texts if table is not None else F.broadcast(texts), "canonical_md5", "left").select("doc_id", "canonical_md5", "license_id", "notices")
 
 
 def _plain_canonical(text: str) -> str:
@@ -137,7 +183,7 @@ def sql() -> str:
         return f"trim({out}, ' ')"
 
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    return f"""WITH known AS (SELECT md5({form('t')}) AS canonical_md5, l AS license_id FROM (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in known_texts())}) v(l, t)),
+    return f"""WITH known AS (SELECT md5({form('t')}) AS canonical_md5, min(l) AS license_id FROM (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in known_texts())}) v(l, t) GROUP BY ALL),
 notice AS (SELECT {form('t')} AS c, l FROM (VALUES {', '.join(f'({quoted(k)}, {quoted(v)})' for k, v in NOTICES.items())}) v(t, l)),
 lines AS (SELECT rid, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM (SELECT rowid AS rid, text FROM (SELECT row_number() OVER () AS rowid, text FROM documents))),
 hits AS (SELECT rid, list_sort(list(DISTINCT l)) AS ls FROM lines JOIN notice ON {form('line')} = c WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn][CcSs]') GROUP BY rid),

@@ -484,6 +484,20 @@ def test_licenses(spark, docs, none):
         assert spark.createDataFrame([(text,)], "t string").select(licenses.canonical(F.col("t"))).collect()[0][0] == licenses._plain_canonical(text)
 
 
+def test_known_texts(spark):
+    """Every built-in text is found under its own id, in upper case and other line breaks; a table of one's own replaces them."""
+    texts = licenses.known_texts()
+    assert len({k for k, _ in texts}) >= 20
+    rows = [(i, f"Copyright Jane Doe 2020\n{t}".upper().replace("\n", "\r\n"), None, None, None) for i, (_, t) in enumerate(texts)]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: k for i, (k, _) in enumerate(texts)}
+    lines = ["Copyright Jane Doe 2020", "Copyright OpenJS Foundation and other contributors", "(c) 2019 X", "Copyright (c) A, Inc."]
+    own = spark.createDataFrame([("Own", "Do as you like.", 1), ("Other", "Do as you like", 2), ("Void", None, 3)], "license_id string, text string, notices int")
+    rows = [(i, f"{x}\n\nDo as you LIKE.", None, None, None) for i, x in enumerate(lines)] + [(8, licenses.MIT, None, None, None), (9, "copyright holders do as you like", None, None, None), (9, "Do as you like " * 100_000, None, None, None)]
+    got = Counter((r["doc_id"], r["license_id"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA), own).collect())
+    assert got == Counter({(0, "Other"): 1, (1, "Other"): 1, (2, "Other"): 1, (3, "Other"): 1, (8, None): 1, (9, None): 2})
+
+
 # Line templates
 
 
