@@ -36,8 +36,9 @@ REPORT = frozenset("said says called word term quote quoted quotes phrase slur i
 ADDRESS = frozenset("you your yours youre u ur du dich dir dein deine sie ihr tu te toi ton ta vous votre tú ti usted vosotros".split())
 #: What contexts add to a hit's weight before there is evidence: aimed at a person, among others, quoted, misspelt; and how firmly.
 PRIOR, FIRM = (0.5, 0.25, -0.75, -0.3), 1.0
-#: Labelled texts of class 1 that a term needs at least, its log odds, and the log likelihood ratio that proves it.
-LEAST, ODDS, EVIDENCE = 4, 3, 10
+#: Labelled texts of class 1 that a term needs at least, and their least share, as groups of near copies share rare words;
+#: its log odds, and the log likelihood ratio that proves it.
+LEAST, SHARE, ODDS, EVIDENCE = 4, 0.01, 3, 10
 STEMS, WINDOW, MEMO, LONGEST = (4, 5, 6, 7, 8), 6, 200_000, 40
 
 
@@ -203,7 +204,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train:
 def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the labelled documents that are not ``held_out`` (a condition on the id), at most ``max_train`` of each class.
 
-    The lexicon has every term that the evidence proves; that is at most as many as the sampled texts have.
+    The lexicon has every term that the evidence proves, without a limit.
     """
     some, n1, n0 = sample(docs, labels, label, held_out, max_train, id_col, text_col)
     if not n1 or not n0:
@@ -241,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int
     # log likelihood of a term's texts under their own shares of the classes over that under the sample's: few texts prove little
     p, neg, share = F.col("pos"), F.col("n") - F.col("pos"), m1 / (m1 + m0)
     evidence = p * F.log(p / (F.col("n") * share)) + F.when(neg > 0, neg * F.log(neg / (F.col("n") * (1 - share)))).otherwise(0.0)
-    good = seen.withColumn("odds", odds).where((p >= LEAST) & (F.col("odds") >= ODDS) & (evidence >= EVIDENCE)).orderBy(F.desc("pos"), "term").collect()
+    good = seen.withColumn("odds", odds).where((p >= max(LEAST, SHARE * m1)) & (F.col("odds") >= ODDS) & (evidence >= EVIDENCE)).orderBy(F.desc("pos"), "term").collect()
     pos = {r["term"]: r["pos"] for r in good}
     strength = {r["term"]: min(1.0, max(0.2, (r["odds"] - 2) / 4)) for r in good}
     words = {t: p for t, p in pos.items() if t[-1] != "*"}
