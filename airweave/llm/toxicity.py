@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, max_train: int
     first = Lexicon(words, stems, None, strength)
 
     def search(batch: pa.RecordBatch):
-        scorer = Scorer(first)
+        scorer = first.__dict__.setdefault("scorer", Scorer(first))  # of this task: words stay known between batches
         out: dict[str, list] = {"y": batch.column(0).to_pylist(), "n": [], "hits": []}
         for text in texts_of(batch):
             n, hits = scorer.hits(text.decode())
