@@ -26,9 +26,10 @@ def directions(n: int, count: int = 64, seed: int = 0) -> np.ndarray:
 
 
 def project(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Projection over the variables that are there; missing where none is."""
+    """Projection over the variables that are there, on the direction's part in them at unit length; missing where none is."""
     ok = np.isfinite(x)
-    return np.where(ok.any(1), np.where(ok, x, 0) @ d, np.nan)
+    length = np.sqrt(ok @ (d * d))
+    return np.where(length > 0, np.where(ok, x, 0) @ d / np.where(length > 0, length, 1), np.nan)
 
 
 def extrema(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,8 @@ from airweave.functions.scalars import DEG_PER_KM, gaussian_weight
 
 #: Most values of a raster axis that are broadcast: 1/1000 degree around the globe, 3 MB.
 AXIS = 360_000
+#: Buckets that a longer axis is sorted in.
+BUCKETS = 16_384
 
 
 def _axis(raster: DataFrame, column: str) -> DataFrame:
@@ -19,21 +21,57 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, out: str, la
     """``points`` with ``out``: the axis value nearest to ``value``; ties go to the larger (or else the smaller).
 
     The sorted axis is one row with an array, found by bisection. It is broadcast
-    after its size has been checked; a longer axis goes through a range join on
-    its sorted neighbours.
+    after its size has been checked; beyond ``AXIS`` values, points and axis are
+    sorted together in buckets of equal width. Both give the same. A missing value
+    has no nearest one.
     """
     n = axis.limit(AXIS + 1).count()
     if n <= AXIS:
         one = axis.agg(F.array_sort(F.collect_list("v")).alias("_axis"))
-        near = _bisect(F.col("_axis"), F.col(value), larger)
+        near = F.when(F.col(value).isNotNull(), _bisect(F.col("_axis"), F.col(value), larger))
         return points.join(F.broadcast(one)).withColumn(out, near).drop("_axis")
-    tagged = points.select(F.col(value).cast("double").alias("v")).distinct().withColumn("_p", F.lit(1)).unionByName(axis.withColumn("_p", F.lit(0)))
-    band = F.floor("v")
-    spread = tagged.where("_p = 1").select("v", F.explode(F.array(band - 1, band, band + 1)).alias("_b")).join(axis.select(F.col("v").alias("a"), F.floor("v").alias("_b")), "_b")
-    best = spread.groupBy("v").agg(F.min_by("a", F.struct(F.abs(F.col("a") - F.col("v")), -F.col("a") if larger else F.col("a"))).alias(out))
+    best = _between(points.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").distinct(), axis)
+    low, high, v = F.col("low"), F.col("high"), F.col("v")
+    closer = (v - low < high - v) | ((v - low == high - v) & F.lit(not larger))
+    best = best.select("v", F.when(low.isNull(), high).when(high.isNull() | closer, low).otherwise(high).alias(out))
     return points.join(best, points[value] == best["v"], "left").drop("v")
 
 
+def _buckets(axis: DataFrame):
+    """Number of the bucket of a value, of ``BUCKETS`` equally wide ones from the smallest to the largest of ``axis``."""
+    low, high = axis.agg(F.min("v"), F.max("v")).collect()[0]
+    width = ((high - low) or 1.0) / BUCKETS
+    return lambda v: F.least(F.greatest(F.floor((v - low) / width), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+
+
+def _between(values: DataFrame, axis: DataFrame) -> DataFrame:
+    """(v, low, high): for each distinct value the last axis value up to it and the first one from it on."""
+    at = _buckets(axis)
+    both = values.select("v", F.lit(None).cast("double").alias("a")).unionByName(axis.select("v", F.col("v").alias("a"))).withColumn("b", at(F.col("v")))
+    own = Window.partitionBy("b").orderBy("v")
+    upto = F.last("a", True).over(own.rangeBetween(Window.unboundedPreceding, 0))
+    beyond = F.first("a", True).over(own.rangeBetween(0, Window.unboundedFollowing))
+    inside = both.select("v", "a", "b", upto.alias("l"), beyond.alias("h")).where("a IS NULL")
+    # at most BUCKETS rows: what lies before and after each bucket
+    ends = axis.groupBy(at(F.col("v")).alias("b")).agg(F.min("v").alias("first"), F.max("v").alias("last"))
+    every = axis.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(ends, "b", "left")
+    order = Window.orderBy("b")
+    ends = every.select("b", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    return inside.join(F.broadcast(ends), "b").select("v", F.coalesce("l", "before").alias("low"), F.coalesce("h", "after").alias("high"))
+
+
+def _ranked(axis: DataFrame, name: str, number: str) -> DataFrame:
+    """(name, number, number_n): the place of each value of an axis (v) of any length, from 0, and how many there are."""
+    if axis.isEmpty():
+        return axis.select(F.col("v").alias(name), F.lit(0).alias(number), F.lit(0).alias(f"{number}_n"))
+    own = axis.withColumn("b", _buckets(axis)(F.col("v")))
+    order = Window.orderBy("b")  # at most BUCKETS rows
+    sizes = own.groupBy("b").agg(F.count("*").alias("n"))
+    sizes = sizes.select("b", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
+    place = F.row_number().over(Window.partitionBy("b").orderBy("v")) - 1 + F.col("before")
+    return own.join(F.broadcast(sizes), "b").select(F.col("v").alias(name), place.alias(number), F.col("all").alias(f"{number}_n"))
+
+
 def _bisect(axis: Column, x: Column, larger: bool) -> Column:
     """Nearest item of a sorted array, in about 20 steps of a fold over halving strides."""
     n = F.size(axis)
@@ -110,10 +148,7 @@ def sampling_matrix(stations: DataFrame, grid: DataFrame, key: str = "station",
     near = stations.select(key, F.col(lat).cast("double").alias("_y"), F.col(lon).cast("double").alias("_x"))
     near = nearest_on_axis(near, _axis(grid, lat), "_y", "_cy", larger=False)
     near = nearest_on_axis(near, _axis(grid, lon), "_x", "_cx", larger=False)
-    lats = grid.select(F.col(lat).cast("double").alias("_cy")).distinct()
-    lons = grid.select(F.col(lon).cast("double").alias("_cx")).distinct()
-    ranked = lambda d, c, o: d.agg(F.array_sort(F.collect_list(c)).alias("a")).select(F.posexplode("a").alias(o, c), F.size("a").alias(f"{o}_n"))  # noqa: E731  an axis, checked above
-    near = near.join(ranked(lats, "_cy", "_iy"), "_cy").join(ranked(lons, "_cx", "_ix"), "_cx")
+    near = near.join(_ranked(_axis(grid, lat), "_cy", "_iy"), "_cy").join(_ranked(_axis(grid, lon), "_cx", "_ix"), "_cx")
     return near.select((F.col("_iy") * F.col("_ix_n") + F.col("_ix")).cast("long").alias("flat_idx"), key, F.lit(1.0).alias("weight"))
 
 

@@ -333,6 +333,64 @@ def time_trim(spark, sf):
     return filters.trim(d.readings(spark, sf), "2024-01-05 00:00:00", "2024-01-09 06:00:00").select("event_id")
 
 
+HALF = 0.14
+OUTLINE = f"EXISTS (SELECT 1 FROM (VALUES {EDGES}) e(x1, y1, x2, y2) WHERE longitude BETWEEN least(x1, x2) - {HALF} AND greatest(x1, x2) + {HALF} AND latitude BETWEEN least(y1, y2) - {HALF} AND greatest(y1, y2) + {HALF} AND least({{c}}) <= 0 AND greatest({{c}}) >= 0)"
+CORNERS = ", ".join(f"(x2 - x1) * (latitude + ({dy}) - y1) - (y2 - y1) * (longitude + ({dx}) - x1)" for dx in (-HALF, HALF) for dy in (-HALF, HALF))
+
+
+@query(f"WITH {d.GRID} SELECT cell FROM grid WHERE {INSIDE} OR {OUTLINE.format(c=CORNERS)}")
+def clip_raster_touched(spark, sf):
+    return filters.clip_raster(d.grid(spark, sf), TRIANGLE, all_touched=True, half=HALF).select("cell")
+
+
+PLACES = "places AS (SELECT 'site_' || station AS site, latitude, longitude FROM stations WHERE station < 10)"
+
+
+def _places(spark, sf):
+    return d.stations(spark, sf).where("station < 10").select(F.concat(F.lit("site_"), F.col("station").cast("string")).alias("site"), "latitude", "longitude")
+
+
+@query(f"WITH {READ}, {d.STATIONS}, {PLACES} SELECT event_id FROM readings JOIN places USING (site) WHERE {INSIDE} AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-19 06:00:00'")
+def trim_clip_sensors(spark, sf):
+    r = d.readings(spark, sf).join(_places(spark, sf), "site")
+    return filters.trim_clip(r, "2024-01-05 00:00:00", "2024-01-19 06:00:00", TRIANGLE).select("event_id")
+
+
+@query(f"WITH {READ} SELECT event_id, site, sensor FROM readings WHERE site <> 'site_3' AND (a IS NOT NULL OR disagreement IS NOT NULL) AND sensor IN (SELECT sensor FROM readings WHERE a IS NOT NULL)")
+def row_filters(spark, sf):
+    r = filters.drop_all_null(d.readings(spark, sf).where(filters.not_equal("site", "site_3")), ["a", "disagreement"])
+    return filters.drop_empty_entities(r, "sensor", "a").select("event_id", "site", "sensor")
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings")
+def finite_items(spark, sf):
+    e = d.table(spark, sf, "embeddings")
+    some = F.transform("embedding", lambda x: F.when(x > 0, x).when(x < -0.1, F.lit(float("nan"))))
+    return e.select("vec_id", F.size(filters.drop_nan(some)).alias("n"))
+
+
+@query(f"WITH {READ} SELECT event_id, x.a, y.b, z.rh FROM (SELECT event_id, a FROM readings WHERE event_id % 2 = 0) x FULL JOIN (SELECT event_id, b FROM readings WHERE event_id % 3 = 0) y USING (event_id) FULL JOIN (SELECT event_id, rh FROM readings WHERE event_id % 5 = 0) z USING (event_id)")
+def columns_side_by_side(spark, sf):
+    r = d.readings(spark, sf)
+    return merge.column_concat([r.where(f"event_id % {n} = 0").select("event_id", c) for n, c in ((2, "a"), (3, "b"), (5, "rh"))], ["event_id"])
+
+
+@query(f"WITH {READ}, {d.STATIONS}, {PLACES} SELECT event_id, site, {R('latitude')} AS latitude, {R('longitude')} AS longitude FROM readings LEFT JOIN places USING (site) WHERE site IN (SELECT site FROM places WHERE latitude > 21)")
+def known_with_places(spark, sf):
+    places = _places(spark, sf)
+    r = merge.semi_known(d.readings(spark, sf), places.where("latitude > 21"), "site")
+    return merge.with_dimension(r, places, "site").select("event_id", "site", r6(F.col("latitude")).alias("latitude"), r6(F.col("longitude")).alias("longitude"))
+
+
+@query(f"WITH {READ}, {d.STATIONS}, {PLACES}, h AS (SELECT site, date_trunc('hour', ts) AS ts, {R('avg(b)')} AS b, {R('avg(rh)')} AS rh FROM readings GROUP BY 1, 2) SELECT p.site, p.ts, p.b, 'o_' || p.site AS other, o.rh AS pm FROM h p JOIN places USING (site) LEFT JOIN (SELECT * FROM h WHERE hour(ts) % 2 = 0) o ON o.site = p.site AND o.ts = p.ts")
+def point_merge_nearby(spark, sf):
+    """Hours of each place beside those of a point a thousandth of a degree away, which reports every other hour."""
+    h = d.readings(spark, sf).groupBy("site", temporal.hour_of("ts").alias("ts")).agg(r6(F.avg("b")).alias("b"), r6(F.avg("rh")).alias("rh")).join(_places(spark, sf), "site")
+    other = h.where(F.hour("ts") % 2 == 0).select(F.concat(F.lit("o_"), F.col("site")).alias("other"), "ts", F.col("rh").alias("pm"), (F.col("latitude") + F.lit(0.001)).alias("latitude"), "longitude")
+    out = merge.point_merge(h.drop("rh"), other, key="site", other_key="other")
+    return out.select("site", "ts", "b", "other", "pm")
+
+
 # Calibration
 
 PRED = {n: f"b * {p}::DOUBLE + rh * ({q}::DOUBLE) + {i}::DOUBLE" for n, (p, q, i) in calibration.HISTORICAL.items()}
@@ -610,17 +668,20 @@ def sensor_ranking(spark, sf):
 
 @query()
 def gpr_temporal(spark, sf):
-    c = d.field(spark, sf).where("s = 0").select(F.lit(0).alias("imf"), F.lit(0).alias("mode"), F.col("h").alias("t"), "value")
-    return gpr.temporal(c, c.select("t")).select("t", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
+    """Each settlement's series as a mode of its own."""
+    c = d.field(spark, sf).select(F.lit(0).alias("imf"), F.col("s").alias("mode"), F.col("h").alias("t"), "value")
+    return gpr.temporal(c, c.select("t")).select("mode", "t", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"))
 
 
 @query(
-    f"WITH {d.STATIONS}, p AS (SELECT station AS k, longitude AS x, latitude AS y, (station % 17)::DOUBLE AS v FROM stations), q AS (SELECT sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS dist, pow(a.v - b.v, 2) / 2 AS g FROM p a JOIN p b ON a.k < b.k) "
-    f"SELECT 'omni' AS direction, CAST(least(floor(dist / 0.2), 9) AS INTEGER) AS lag, {R('avg(dist)')} AS distance, {R('avg(g)')} AS gamma, count(*) AS n FROM q WHERE dist > 0 AND dist <= 2 GROUP BY 2"
+    f"WITH {d.STATIONS}, p AS (SELECT station AS k, longitude AS x, latitude AS y, (station % 17)::DOUBLE AS v FROM stations), q AS (SELECT b.x - a.x AS dx, b.y - a.y AS dy, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS dist, pow(a.v - b.v, 2) / 2 AS g FROM p a JOIN p b ON a.k < b.k), "
+    f"e AS (SELECT *, degrees(atan2(dy, dx)) - 180 * floor(degrees(atan2(dy, dx)) / 180) AS angle FROM q WHERE dist > 0 AND dist <= 2), "
+    f"w AS (SELECT *, 'omni' AS direction FROM e UNION ALL SELECT e.*, n FROM e, (VALUES ('az0', 0), ('az45', 45), ('az90', 90), ('az135', 135)) v(n, a) WHERE least(abs(angle - a), 180 - abs(angle - a)) <= 22.5) "
+    f"SELECT direction, CAST(least(floor(dist / 0.2), 9) AS INTEGER) AS lag, {R('avg(dist)')} AS distance, {R('avg(g)')} AS gamma, count(*) AS n FROM w GROUP BY 1, 2"
 )
 def variogram(spark, sf):
     s = d.stations(spark, sf).withColumn("value", (F.col("station") % 17).cast("double"))
-    return gpr.variogram(s, longest=2.0).where("direction = 'omni'").select("direction", "lag", r6(F.col("distance")).alias("distance"), r6(F.col("gamma")).alias("gamma"), "n")
+    return gpr.variogram(s, longest=2.0).select("direction", "lag", r6(F.col("distance")).alias("distance"), r6(F.col("gamma")).alias("gamma"), "n")
 
 
 @query(f"SELECT t, station, {R('sum(mean)')} AS value, {R('sqrt(sum(std * std))')} AS std FROM (SELECT event_id % 50 AS t, user_id % 10 AS station, value AS mean, (event_id % 5) / 10.0 AS std FROM events) GROUP BY 1, 2")

@@ -30,8 +30,39 @@ def test_nearest_ties(spark):
 
 
 def test_nearest_axis_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "AXIS", 2)
+    """The same as within it: points far off, ties, missing values, and ranks along the axis."""
+    p = spark.createDataFrame([(55.0,), (-70.0,), (11.1,), (None,), (11.1,), (10.2,), (12.0,), (300.0,)], "y double")
+    a = spark.createDataFrame([(10.2,), (12.0,), (100.0,), (500.0,)], "v double")
+    both = []
+    for most in (spatial.AXIS, 1):
+        monkeypatch.setattr(spatial, "AXIS", most)
+        both.append([sorted(((r["y"], r["n"]) for r in spatial.nearest_on_axis(p, a, "y", "n", larger).collect()), key=str) for larger in (True, False)])
+    assert both[0] == both[1] and (55.0, 12.0) in both[0][0] and (None, None) in both[0][0] and (300.0, 500.0) in both[0][0] and (300.0, 100.0) in both[0][1]
+    monkeypatch.setattr(spatial, "BUCKETS", 7)
     test_nearest_axis_matches_brute_force(spark)
+    axis = spark.createDataFrame([(float(v) ** 3,) for v in range(40)], "v double")
+    assert sorted(tuple(r) for r in spatial._ranked(axis, "x", "i").collect()) == [(float(v) ** 3, v, 40) for v in range(40)]
+
+
+def test_sparse_process_is_close_to_the_exact_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.linspace(0, 10, 300)[:, None]
+    y = np.sin(2 * x[:, 0]) + rng.normal(size=300) * 0.1
+    exact = gpr.GP().fit(x, y)
+    monkeypatch.setattr(gpr, "MOST", 100)
+    monkeypatch.setattr(gpr, "INDUCING", 100)
+    some = gpr.GP().fit(x, y)
+    (m, s), (n, t) = exact.predict(x), some.predict(x)
+    assert np.abs(m - n).max() < 0.1 and np.abs(s - t).max() < 0.1 and np.abs(n - np.sin(2 * x[:, 0])).mean() < 0.08
+
+
+def test_projection_keeps_its_scale_where_stations_drop_out():
+    d = memd.directions(4, 8)[0]
+    x = np.tile(d, (3, 1))
+    x[1, :2] = np.nan
+    x[2] = np.nan
+    got = memd.project(x, d)
+    assert np.allclose(got[:2], [1.0, np.linalg.norm(d[2:])]) and np.isnan(got[2])
 
 
 def test_tolerance_match_matches_brute_force(spark):
