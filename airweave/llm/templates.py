@@ -12,8 +12,8 @@ and its lines are dropped, each everywhere or but for the first document that
 has it.
 
 Templates and tokens travel as 64-bit hashes and are counted before and after
-the shuffle; a leaf keeps at most ``RARE`` tokens of a position, so neither a
-leaf nor a template is ever gathered. Documents with the same whole text count
+the shuffle; a leaf's lines are counted in pieces and it keeps at most ``RARE``
+tokens of a position, so neither a large leaf nor a template is ever gathered. Documents with the same whole text count
 once. Only lines of leaves that hold different templates are looked at token by
 token.
 
@@ -34,6 +34,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from airweave.llm.common import digest, mapped, split_join, steps, stored, texts_of
@@ -42,8 +43,8 @@ _DIGIT = re.compile(rb"[0-9]")
 FIELD = b"<*>"
 #: A fixed token is one that at least one in so many lines of the leaf have there; of five tokens at least so many are fixed.
 RARE, FIXED = 10, 3
-#: Counts that a partition holds before it passes them on.
-HELD = 200_000
+#: Different lines of a piece of a leaf, and counts that a task holds before it passes them on.
+PIECE, HELD = 5_000, 200_000
 
 
 def tokens_of(line: bytes) -> list[bytes]:
@@ -94,14 +95,90 @@ def _parsed(rows: DataFrame, lead: int) -> DataFrame:
     return stored(parsed.dropDuplicates(["key"]), "templates")
 
 
+def _fixed(lines: DataFrame, docs: int) -> DataFrame:
+    """(leaf, fixed, strong) of each leaf of ``lines`` (whole, leaf, n, total, kinds, slots) that can have a merged template.
+
+    A leaf's lines come together in pieces of about ``PIECE`` lines. Where a leaf
+    is one piece, its tokens are counted there and only the fixed ones leave it,
+    and none if they are at too few positions. A token that one in ``RARE`` lines
+    of a larger leaf have is as frequent in one of its pieces at least: the pieces
+    name such tokens, and these alone are counted over the whole leaf.
+    """
+    pieces = F.ceil(F.col("kinds") / PIECE).cast("int").alias("pieces")
+    dealt = lines.select("leaf", F.pmod(F.xxhash64("whole", F.lit(7)), pieces).cast("int").alias("piece"), pieces, "n", "total", "slots")
+
+    def piece(batches):
+        at, one, total, weight, held, counts = None, True, 0, 0, 0, []
+
+        def frequent(final: bool):
+            """What the lines counted so far give: fixed tokens if they are the whole leaf, else those that may be."""
+            nonlocal weight, held, counts
+            own = one and final
+            least = max(docs, -(-total // RARE)) if own else -(-weight // RARE)
+            often = [[(s, n) for s, n in c.items() if n >= least] for c in counts]
+            enough = not own or 5 * sum(map(bool, often)) >= FIXED * len(often)
+            found = [x for c in often for x in c] if enough else []
+            weight, held, counts = 0, 0, [Counter() for _ in counts]
+            if found:
+                strong = [s for s, n in found if own and 2 * n >= total]
+                yield pa.RecordBatch.from_pydict({"leaf": [at[0]], "own": [own], "fixed": [[s for s, _ in found]], "strong": [strong]}, schema=kind)
+
+        for batch in batches:
+            for leaf, i, of, n, all_n, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (leaf, i):
+                    if at:
+                        yield from frequent(True)
+                    at, one, total, counts = (leaf, i), of == 1, all_n, []
+                weight += n
+                counts += [Counter() for _ in row[len(counts) :]]
+                for c, s in zip(counts, row, strict=False):
+                    if s:
+                        c[s] += n
+                held += len(row)
+                if held > HELD:
+                    held = sum(map(len, counts))
+                    if held > HELD:
+                        one = False
+                        yield from frequent(False)
+        if at:
+            yield from frequent(True)
+
+    shape = "leaf long, own boolean, fixed array<long>, strong array<long>"
+    kind = to_arrow_schema(StructType.fromDDL(shape))
+    found = stored(dealt.repartition("leaf", "piece").sortWithinPartitions("leaf", "piece").mapInArrow(piece, shape), "fixed")
+    whole = found.where("own").select("leaf", "fixed", "strong")
+    asked = found.where("NOT own").groupBy("leaf").agg(F.array_distinct(F.flatten(F.collect_list("fixed"))).alias("asked"))
+
+    def count(batches):
+        seen: Counter = Counter()
+
+        def out():
+            found = {"leaf": [k[0] for k in seen], "total": [k[1] for k in seen], "slot": [k[2] for k in seen], "n": list(seen.values())}
+            seen.clear()
+            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
+
+        for batch in batches:
+            for leaf, n, total, row, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s in set(asked).intersection(row):
+                    seen[leaf, total, s] += n
+                if len(seen) > HELD:
+                    yield out()
+        yield out()
+
+    counted = split_join(lines, asked, ["leaf"]).select("leaf", "n", "total", "slots", "asked").mapInArrow(count, "leaf long, total long, slot long, n long")
+    fixed = counted.groupBy("leaf", "total", "slot").agg(F.sum("n").alias("n")).where((F.col("n") >= docs) & (F.col("n") * RARE >= F.col("total")))
+    large = fixed.groupBy("leaf").agg(F.collect_list("slot").alias("fixed"), F.collect_list(F.when(F.col("n") * 2 >= F.col("total"), F.col("slot"))).alias("strong"))
+    return whole.unionByName(large)
+
+
 def _merged(rows: DataFrame, wholes: DataFrame, docs: int) -> DataFrame:
     """(whole, merged): the one or two merged templates of each template of ``wholes`` (whole, leaf, n, first) that has enough fixed tokens."""
     leaves = wholes.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= docs) & (F.col("kinds") > 1))
-    wanted = split_join(wholes, leaves.drop("kinds"), ["leaf"]).groupBy(F.col("first").alias("key")).agg(F.collect_list(F.struct("whole", "leaf", "n", "total")).alias("wanted"))
+    wanted = split_join(wholes, leaves, ["leaf"]).groupBy(F.col("first").alias("key")).agg(F.collect_list(F.struct("whole", "leaf", "n", "total", "kinds")).alias("wanted"))
 
     def read(batch: pa.RecordBatch):
         for text, wanted in zip(texts_of(batch), batch.column(1).to_pylist(), strict=True):
-            out: dict[str, list] = {"whole": [], "leaf": [], "n": [], "total": [], "slots": []}
+            out: dict[str, list] = {"whole": [], "leaf": [], "n": [], "total": [], "kinds": [], "slots": []}
             ask = {x["whole"]: x for x in wanted}
             for line in text.split(b"\n"):
                 tokens = tokens_of(line)
@@ -112,29 +189,10 @@ def _merged(rows: DataFrame, wholes: DataFrame, docs: int) -> DataFrame:
                     break
             yield out
 
-    shape = "whole long, leaf long, n long, total long, slots array<long>"
+    shape = "whole long, leaf long, n long, total long, kinds long, slots array<long>"
     lines = stored(mapped(split_join(rows, wanted, ["key"]).select("text", "wanted"), read, shape).dropDuplicates(["whole"]), "lines")
 
-    def count(batches):
-        seen: Counter = Counter()
-
-        def out():
-            found = {"leaf": [k[0] for k in seen], "total": [k[1] for k in seen], "slot": [k[2] for k in seen], "n": list(seen.values())}
-            seen.clear()
-            return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in found.items()})
-
-        for batch in batches:
-            for leaf, n, total, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for s in row:
-                    if s:
-                        seen[leaf, total, s] += n
-                if len(seen) > HELD:
-                    yield out()
-        yield out()
-
-    counted = lines.select("leaf", "n", "total", "slots").mapInArrow(count, "leaf long, total long, slot long, n long")
-    fixed = counted.groupBy("leaf", "total", "slot").agg(F.sum("n").alias("n")).where((F.col("n") >= docs) & (F.col("n") * RARE >= F.col("total")))
-    fixed = fixed.groupBy("leaf").agg(F.collect_list("slot").alias("fixed"), F.collect_list(F.when(F.col("n") * 2 >= F.col("total"), F.col("slot"))).alias("strong"))
+    fixed = _fixed(lines, docs)
 
     def mask(batch: pa.RecordBatch):
         out: dict[str, list] = {"whole": [], "merged": []}

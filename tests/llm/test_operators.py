@@ -552,7 +552,10 @@ def brute_lines(texts, docs=5, lead=2):
     return out
 
 
-def test_template_tree(spark):
+@pytest.mark.parametrize("piece, held", [(templates.PIECE, templates.HELD), (20, templates.HELD), (templates.PIECE, 100)])
+def test_template_tree(spark, monkeypatch, piece, held):
+    monkeypatch.setattr(templates, "PIECE", piece)
+    monkeypatch.setattr(templates, "HELD", held)
     assert templates.tokens_of(b"  ") == [] and templates.tokens_of(b"a b1 c") == [b"a", b"<*>", b"c"]
     assert templates.leaf_of([b"a", b"b", b"c", b"d", b"e"], 2) == b"5|a b" and templates.leaf_of([b"a", b"b", b"c", b"d"], 2) == b"4|a"
     rng = np.random.default_rng(21)
